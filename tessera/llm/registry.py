@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules
+from tessera.llm import byte_bpe, packing, quality_rules
 
 QUERIES = {
     "op4_quality_rules": quality_rules.query,
+    "op7_byte_bpe": byte_bpe.query,
+    "op10_packing": packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
