@@ -55,3 +55,12 @@ def n_chunks(total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> int:
 def distinct_ids(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator works on; extra columns of whatever name stay out of the way."""
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote, once nothing will read it again."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for root in {f.rsplit("/", 1)[0].split("/kind=")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
