@@ -2,13 +2,14 @@
 
 1. One scan splits texts into pre-tokens. Each chunk of about 32 MB of text keeps its pre-tokens in
    order as numbers of a dictionary of its own, and that dictionary.
-2. The dictionaries are exploded and shuffled by word; equal words meet in sorted order, so each
-   distinct word is encoded once, in a stream, whatever number of chunks holds it.
+2. The dictionaries are dealt by the hash of the word into as many parts as there are chunks; equal
+   words meet in one part, where each distinct word is encoded once, however many chunks hold it.
 3. The ids go back by chunk, where the numbers are replaced by ids in order of position, and the ids
    are decoded through the table of token bytes.
 
-What moves is one row per distinct word of a chunk, and each chunk's compressed numbers; no row per
-pre-token. A hot word is one row per chunk. Every stage streams or holds one chunk.
+What moves is each distinct word of a chunk once, in compressed bundles, and each chunk's compressed
+numbers; no row per pre-token. A hot word is one entry per chunk. Every task holds one chunk's
+dictionary, or one part of all dictionaries, which is of about that size.
 
 Defined results: a null or empty text has no ids; repeated rows give repeated results; extra columns
 are ignored; an empty table gives no rows.
@@ -111,8 +112,25 @@ def number_words(documents: DataFrame, pattern: str, chunk_bytes: int = CHUNK) -
     return distinct_ids(documents).mapInArrow(run, "chunk long, doc_ids array<long>, counts array<long>, numbers binary, words binary")
 
 
-def explode_words(chunks: DataFrame) -> DataFrame:
-    """word, chunk, number: a row per distinct word of a chunk."""
+def _bundle(numbers: np.ndarray, lengths: np.ndarray, data: bytes) -> bytes:
+    """Byte strings of given lengths, one after another, each with a number."""
+    import zstandard
+
+    head = np.concatenate([numbers, lengths]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(len(numbers).to_bytes(8, "little") + np.ascontiguousarray(head).tobytes() + data)
+
+
+def _unbundle(b: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(b)
+    n = int.from_bytes(raw[:8], "little")
+    head = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return head[:n], head[n:], raw[8 + 8 * n :]
+
+
+def deal_words(chunks: DataFrame, parts: int) -> DataFrame:
+    """part, chunk, bundle: each chunk's distinct words with their numbers, dealt by the word's hash."""
 
     def run(batches):
         import zstandard
@@ -121,28 +139,56 @@ def explode_words(chunks: DataFrame) -> DataFrame:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed.as_py())) as reader:
                     words = reader.read_all().column(0).combine_chunks()
-                for a in range(0, len(words), 20_000):
-                    part = words.slice(a, 20_000)
-                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), chunk), pa.int64()), pa.array(np.arange(a, a + len(part)), pa.int32())], names=["word", "chunk", "number"])
+                order = np.asarray(pc.sort_indices(words))  # neighbours alike are smaller
+                data, offsets = t.utf8(words.take(pa.array(order)))
+                lengths = np.diff(offsets)
+                part = (t.span_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                edges = np.flatnonzero(np.diff(part[by], prepend=-1))
+                raw = data.tobytes()
+                for a, b in zip(edges, [*edges[1:], len(by)], strict=True):
+                    own = by[a:b]
+                    bundle = _bundle(order[own], lengths[own], b"".join([raw[offsets[i] : offsets[i + 1]] for i in own]))
+                    yield pa.RecordBatch.from_arrays([pa.array([part[own[0]]], pa.int64()), pa.array([chunk], pa.int64()), pa.array([bundle], pa.binary())], names=["part", "chunk", "bundle"])
 
-    return chunks.select("chunk", "words").mapInArrow(run, "word string, chunk long, number int")
+    return chunks.select("chunk", "words").mapInArrow(run, "part long, chunk long, bundle binary")
 
 
-def encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
-    """chunk, number, ids (little-endian unsigned 32 bits) for sorted words; each run of equal words is encoded once."""
+def encode_words(dealt: DataFrame, ranks, pattern: str) -> DataFrame:
+    """chunk, bundle: the ids (little-endian unsigned 32 bits) of each chunk's words; a distinct word is encoded once."""
 
-    def run(batches):
+    def run(table: pa.Table) -> pa.Table:
         encode = _encoding(ranks.value, pattern)._core_bpe.encode_single_piece
-        last, ids = None, b""
-        for batch in batches:
-            out = []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode(word.encode()), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["chunk", "number", "ids"])
-
-    return words.mapInArrow(run, "chunk long, number int, ids binary")
+        known: dict[bytes, bytes] = {}
+        chunks, out = table.column("chunk").to_pylist(), []
+        for bundle in table.column("bundle"):
+            numbers, lengths, data = _unbundle(bundle.as_py())
+            ids, at = [], 0
+            for n in lengths.tolist():
+                word = data[at : at + n]
+                at += n
+                found = known.get(word)
+                if found is None:
+                    found = known[word] = np.array(encode(word), dtype="<u4").tobytes()
+                ids.append(found)
+            order = np.argsort(numbers, kind="stable")
+            ids = [ids[i] for i in order]
+            flat = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, 4).T
+            out.append(_bundle(numbers[order], np.array([len(x) for x in ids]), np.ascontiguousarray(flat).tobytes()))
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "bundle": pa.array(out, pa.binary())})
+
+    return dealt.groupBy("part").applyInArrow(run, "chunk long, bundle binary")
+
+
+def _words_of(bundles) -> list[bytes]:
+    """Ids of the words of a chunk, by number."""
+    found: dict[int, bytes] = {}
+    for bundle in bundles:
+        numbers, lengths, data = _unbundle(bundle.as_py())
+        ids = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).tobytes()
+        ends = np.cumsum(lengths).tolist()
+        found.update(zip(numbers.tolist(), [ids[e - n : e] for e, n in zip(ends, lengths.tolist(), strict=True)], strict=True))
+    return [found[i] for i in range(len(found))]
 
 
 def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, reduce, schema: str, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -154,16 +200,13 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, reduce
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     chunks = materialise(number_words(documents, pattern, chunk_bytes))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_words = explode_words(chunks).repartition(partitions, "word").sortWithinPartitions("word")
-    ids = encode_words(sorted_words, ranks, pattern)
+    ids = encode_words(deal_words(chunks, max(1, chunks.count())), ranks, pattern)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         byte_table = [b""] * (max(ranks.value.values()) + 1)
         for token, i in ranks.value.items():
             byte_table[i] = token
-        right = right.sort_by("number")
-        words = right.column("ids").to_pylist()
+        words = _words_of(right.column("bundle"))
         out = []
         for row in left.select(["doc_ids", "counts", "numbers"]).to_pylist():
             bounds = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
