@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, jaccard_join, packing, quality_rules
+from tessera.llm import byte_bpe, jaccard_join, kneser_ney, packing, ppm, quality_rules
 
 QUERIES = {
+    "op3_ppm": ppm.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_kneser_ney": kneser_ney.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_jaccard_join": jaccard_join.query,
     "op10_packing": packing.query,
