@@ -3,7 +3,7 @@
 The trie of byte contexts is held as tables, one per order. The highest order counts occurrences in
 the training texts; a lower order counts the longer contexts a symbol was seen in, which is what
 updating with exclusion leaves there. A symbol is coded at the longest context that knows it, by
-c / (T + q); not being known costs the escape q / (T + q) (q: distinct symbols there, method C) and,
+(c - 1/2) / T; not being known costs the escape q / 2T (q: distinct symbols there, method D) and,
 one order down, the symbols already seen above are excluded from T and q. Below order 0 all symbols
 not seen at order 0 are alike. The code length of an n-gram depends on the n-gram alone, so it is
 worked out once for each distinct one by joins, and goes back to the texts (see _grams).
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _grams as gr
 from tessera.llm._io import CHUNK_BYTES, arrow_limits, materialise, n_chunks, text_bytes
 
-ORDER = 4
+ORDER = 5
 SYMBOLS = 255  # the bytes of UTF-8 and the end
 
 
@@ -45,7 +45,7 @@ def code_lengths(counts: DataFrame, order: int) -> DataFrame:
             grams = grams.withColumn("cl", F.lit(0))
         # total, distinct symbols, and what the symbols seen here count one order down
         nodes[j] = materialise(grams.groupBy("x").agg(F.sum("c").alias("t"), F.count("*").alias("q"), F.sum("cl").alias("s")))
-    known = counts.filter("c > 0").withColumn("x", F.expr("shiftright(g, 8)")).join(nodes[order], "x").select("part", "g", F.expr("log10(c / (t + q))").alias("value"))
+    known = counts.filter("c > 0").withColumn("x", F.expr("shiftright(g, 8)")).join(nodes[order], "x").select("part", "g", F.expr("log10((c - 0.5D) / t)").alias("value"))
 
     # the others escape from order to order; s and q carry what is excluded
     found = counts.filter("c = 0").select("part", "g", F.lit(0.0).alias("value"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("es"), F.lit(0).cast("long").alias("eq"))
@@ -54,7 +54,7 @@ def code_lengths(counts: DataFrame, order: int) -> DataFrame:
         found = found.withColumn("gj", F.expr(gram)).join(tables[j].select(F.col("g").alias("gj"), "c"), "gj", "left")
         found = found.withColumn("x", F.expr(context)).join(nodes[j], "x", "left")
         total, distinct = "(coalesce(t, 0) - es)", "(coalesce(q, 0) - eq)"
-        here = F.expr(f"case when done or t is null then 0.0 when c is not null then log10(c / ({total} + {distinct})) when {distinct} > 0 then log10({distinct} / ({total} + {distinct})) else 0.0 end")
+        here = F.expr(f"case when done or t is null then 0.0 when c is not null then log10((c - 0.5D) / {total}) when {distinct} > 0 then log10(0.5D * {distinct} / {total}) else 0.0 end")
         found = found.select("part", "g", (F.col("value") + here).alias("value"), F.expr("done or c is not null").alias("done"), F.expr("coalesce(s, 0)").alias("es"), F.expr("coalesce(q, 0)").alias("eq"))
     last = F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - F.log10(F.greatest(F.lit(SYMBOLS) - F.col("eq"), F.lit(1))))
     return known.unionByName(found.select("part", "g", last.alias("value")))
