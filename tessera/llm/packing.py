@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import sys
 import zlib
+from collections import defaultdict
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,34 @@ from tessera.llm._io import arrow_limits, distinct_ids, materialise
 CAPACITY = 2048
 END_ID = 1
 GROUP_SIZE = 1 << 14
-_MEMO_WORDS = 200_000
-_MEMO_BYTES = 64
+_MEMO_WORDS = 600_000
+_MEMO_IDS = 4_000_000
+
+
+def split_words(column) -> tuple[list[bytes], np.ndarray]:
+    """Words of all texts of a column, and how many each text has.
+
+    Texts are split at ASCII white space, and before a comma or full stop that ends a word behind an
+    ASCII letter or digit, where the tokenizer splits as well. A-Z become a-z, as they do in the
+    tokenizer, unless the texts hold a special token's opening, which is found before lower-casing.
+    """
+    data, offsets = t.utf8(column)
+    n = len(offsets) - 1
+    raw = data.tobytes()
+    if b"<|" not in raw:
+        data = t.lower_ascii(data)
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    blank = t.blank(data)
+    split = (data == 44) | (data == 46)
+    plain = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 48) & (data <= 57)
+    split[1:] &= plain[:-1] & ~edge[1:-1]
+    split[:1] = False
+    split[:-1] &= blank[1:] | edge[1:-1]
+    starts, _ = t.spans(~blank, offsets)
+    per = np.bincount(t.owner(starts, offsets), minlength=n) + np.bincount(t.owner(np.flatnonzero(split), offsets), minlength=n)
+    spaced = np.insert(data, np.flatnonzero(split | edge[:-1]), 32)
+    return spaced.tobytes().split(), per
 
 
 class WordIds:
@@ -44,43 +72,33 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.starts, self.lengths, self.flat, self.n_flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
-        self.ids = np.zeros(0, np.uint32)
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         ids = [x.ids for x in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.memo)
-        self.memo.update(zip(words, range(begin, begin + len(words)), strict=True))
-        self.starts.append(self.n_flat + np.cumsum(lengths) - lengths)
-        self.lengths.append(lengths)
-        self.flat.append(np.array([i for x in ids for i in x], dtype=np.uint32))
-        self.n_flat += int(lengths.sum())
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """The ids of each text, with end_id last."""
-        if len(self.memo) > _MEMO_WORDS or self.n_flat > 8 * _MEMO_WORDS:
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+
+    def encode(self, column, end_id: int) -> list[np.ndarray]:
+        """The ids of each text of a column, with end_id last."""
+        if len(self.number) > _MEMO_WORDS or len(self.flat) > _MEMO_IDS:
             self.clear()
-        split = [x.split() for x in texts]
-        new = {w for words in split for w in words if w not in self.memo}
-        if new:
-            self.learn(list(new))
-        index = np.fromiter((self.memo[w] for words in split for w in words), np.int64, sum(map(len, split)))
-        self.starts, self.lengths = [np.concatenate(self.starts)], [np.concatenate(self.lengths)]
-        self.flat = [np.concatenate(self.flat)] if self.flat else []
-        flat = self.flat[0] if self.flat else np.zeros(0, np.uint32)
-        lengths = self.lengths[0][index]
+        words, per = split_words(column)
+        before = len(self.number)
+        index = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if new := len(self.number) - before:
+            self.learn(list(islice(reversed(self.number), new))[::-1])
+        lengths = self.lengths[index]
         ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[0][index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        ids = flat[at]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(w) for w in split])])]
-        out = [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        for w in [w for w in new if len(w) > _MEMO_BYTES][:1]:  # long words would fill the memo
-            del w
-            self.clear()
-        return out
+        at = np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.flat[at]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
+        return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _encoder(model: str) -> WordIds:
@@ -106,12 +124,8 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
         encoder = _encoder(model.value)
         for batch in batches:
             for a, b in t.pieces(batch.column(1)):
-                column = batch.column(1).slice(a, b - a)
-                data, offsets = t.utf8(column)
-                raw = data.tobytes()
-                texts = [raw[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
                 rows = []
-                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts, end_id), strict=True):
+                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(batch.column(1).slice(a, b - a), end_id), strict=True):
                     ids = ids.astype("<u4")
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tessera.llm import packing
@@ -63,8 +64,8 @@ def test_memo_starts_anew_without_changing_ids(monkeypatch):
     monkeypatch.setattr(packing, "_MEMO_WORDS", 3)
     words = packing.WordIds(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    for text in ["one two three four five", "one six " + "y" * 300, "seven two", ""]:
-        assert words.encode([text.encode(), b""], 1)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    for text in ["one two three four five", "one six " + "y" * 300, "seven two", "", "<|ENDOFTEXT|> A, b.", "a, 1. é, ,. x!, 'S. it's, .", "one, two."]:
+        assert words.encode(pa.array([text, None]), 1)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
 def test_groups_and_empty_table(spark, sf_dir):
