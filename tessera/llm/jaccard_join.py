@@ -6,8 +6,8 @@
 2. Ranges add the counts up and tell each chunk which of its shingles stand in two sets or more.
 3. Each chunk orders every set rare-first and drops sets too few of whose shingles occur elsewhere.
    The prefix n - ceil(t n) + 1 of the others is indexed; shingles of one set alone need no entry.
-4. Every node is first checked against one hub, the least node of its prefix lists, which joins groups
-   of copies with as many comparisons as members. Then all pairs that share a prefix shingle and lie
+4. Every node is first checked against one hub, of all nodes in its prefix lists the one whose shingles
+   are the most common, which joins groups of copies with as many comparisons as members. Then all pairs that share a prefix shingle and lie
    in different components pass the length and positional filters, are made distinct, and are
    verified once, the suffix filter before the exact count. Pairs within a component cannot change it.
 
@@ -140,23 +140,26 @@ def _shared(counts: DataFrame) -> DataFrame:
 
 
 def _index(scanned: DataFrame, shared: DataFrame, keepers: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """node, size, hashes (rare-first), prefix (hash and position of entries that occur elsewhere)."""
+    """node, size, shared, weight, hashes (rare-first), prefix.
+
+    shared: how many shingles of the set occur elsewhere; no other one can be common to two sets, so
+    bounds on overlap count these alone. prefix: the hash of each entry and its position among them.
+    weight: the mean logarithm of the counts, which is highest at the middle of a group of copies.
+    """
     right = shared.select("chunk", "range", "blob", F.lit(None).cast("int").alias("index")).unionByName(keepers.select("chunk", F.lit(None).cast("long").alias("range"), F.lit(None).cast("binary").alias("blob"), "index"))
     left = scanned.filter("kind = 0").select("chunk", "nodes", "blob")
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("hashes", pa.binary()), ("prefix", pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())])))])
+    names = ["node", "size", "shared", "weight", "hashes", "prefix"]
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         import zstandard
 
-        if not texts.num_rows:
-            return schema.empty_table()
+        rows, heads = ([], [], [], [], []), ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0])
         kept = set(told.column("index").drop_null().to_pylist())
         blobs = sorted((r, b) for r, b in zip(told.column("range").to_pylist(), told.column("blob").to_pylist(), strict=True) if b is not None)
         parts = [_unpack(b) for _, b in blobs]
         slots = np.concatenate([s for s, _ in parts] or [np.zeros(0, np.uint64)])
         many = np.concatenate([c for _, c in parts] or [np.zeros(0, np.uint32)])
         nodes, at = texts.column("nodes")[0].as_py(), 0
-        rows = ([], [], [], [])
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(texts.column("blob")[0].as_py())) as reader:
             for batch in reader:
                 found = t.Shingles(batch.column(0), width)
@@ -167,19 +170,26 @@ def _index(scanned: DataFrame, shared: DataFrame, keepers: DataFrame, width: int
                 for i in range(len(batch)):
                     a, b = found.bounds[i], found.bounds[i + 1]
                     n = int(b - a)
-                    if n and at + i in kept and elsewhere[b] - elsewhere[a] >= at_least(percent, n):
+                    shared = int(elsewhere[b] - elsewhere[a])
+                    if n and at + i in kept and shared >= at_least(percent, n):
                         order = np.lexsort((found.hashes[a:b], count[a:b]))
                         hashes = found.hashes[a:b][order]
-                        head = n - at_least(percent, n) + 1
-                        entries = np.flatnonzero(count[a:b][order][:head] > 1)
+                        head = hashes[n - shared : n - at_least(percent, n) + 1]
                         rows[0].append(nodes[at + i])
                         rows[1].append(n)
-                        rows[2].append(hashes.astype("<u8").tobytes())
-                        rows[3].append([{"h": h, "pos": p} for h, p in zip(hashes.view(np.int64)[entries].tolist(), entries.tolist(), strict=True)])
+                        rows[2].append(shared)
+                        rows[3].append(float(np.log2(count[a:b]).mean()))
+                        rows[4].append(hashes.astype("<u8").tobytes())
+                        heads[0].append(head)
+                        heads[1].append(np.arange(len(head)))
+                        heads[2].append(heads[2][-1] + len(head))
                 at += len(batch)
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(rows, schema.types, strict=True)], schema=schema)
+        entries = pa.StructArray.from_arrays([pa.array(np.concatenate(heads[0]).view(np.int64), pa.int64()), pa.array(np.concatenate(heads[1]), pa.int32())], names=["h", "pos"])
+        prefix = pa.ListArray.from_arrays(pa.array(heads[2], pa.int32()), entries)
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
+        return pa.Table.from_arrays([*(pa.array(c, k) for c, k in zip(rows, types, strict=True)), prefix], names=names)
 
-    return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, "node long, size int, hashes binary, prefix array<struct<h: long, pos: int>>")
+    return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(run, "node long, size int, shared int, weight double, hashes binary, prefix array<struct<h: long, pos: int>>")
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
@@ -250,15 +260,15 @@ def _open_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     sizes = e.groupBy("h", "root").agg(F.count("*").alias("many"))
     lists = sizes.groupBy("h").agg(F.max(F.struct("many", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("h", F.col("top.root").alias("largest"))
     open_ = e.join(lists, "h")
-    x = open_.filter("root <> largest").select("h", F.col("node").alias("n1"), F.col("size").alias("s1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
-    y = open_.select("h", F.col("node").alias("n2"), F.col("size").alias("s2"), F.col("pos").alias("p2"), F.col("root").alias("r2"), "largest")
+    x = open_.filter("root <> largest").select("h", F.col("node").alias("n1"), F.col("size").alias("s1"), F.col("shared").alias("c1"), F.col("pos").alias("p1"), F.col("root").alias("r1"))
+    y = open_.select("h", F.col("node").alias("n2"), F.col("size").alias("s2"), F.col("shared").alias("c2"), F.col("pos").alias("p2"), F.col("root").alias("r2"), "largest")
     least = f"{percent} * (s1 + s2)"
     passed = x.join(
         y,
         (x.h == y.h)
         & F.expr("r1 <> r2 and (r2 = largest or n1 < n2)")
         & F.expr(f"100 * least(s1, s2) >= {percent} * greatest(s1, s2)")
-        & F.expr(f"{100 + percent} * (1 + least(p1, p2) + least(s1 - p1, s2 - p2) - 1) >= {least}"),
+        & F.expr(f"{100 + percent} * (least(p1, p2) + least(c1 - p1, c2 - p2)) >= {least}"),
     )
     return passed.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
 
@@ -279,9 +289,9 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     index = materialise(_index(scanned, _shared(scanned.filter("kind = 1").select("range", "chunk", "blob")), keepers, width, percent, bits))
     drop(scanned)
 
-    entries = index.select("node", "size", F.explode("prefix").alias("p")).select("p.h", "p.pos", "node", "size")
-    hubs = entries.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("many")).filter("many > 1")
-    chosen = entries.select("h", "node").join(hubs, "h").groupBy("node").agg(F.min("hub").alias("hub")).filter("hub <> node")
+    entries = index.select("node", "size", "shared", "weight", F.explode("prefix").alias("p")).select("p.h", "p.pos", "node", "size", "shared", "weight")
+    hubs = entries.groupBy("h").agg(F.max(F.struct("weight", "node")).alias("hub"), F.count("*").alias("many")).filter("many > 1")
+    chosen = entries.select("h", "node").join(hubs, "h").groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("hub")).filter("hub <> node")
     linked = materialise(_check_hubs(index, chosen, percent, partitions))
     roots = materialise(components(linked))
     pairs = materialise(_open_pairs(entries, roots, percent))
