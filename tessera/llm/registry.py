@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, jaccard_join, kneser_ney, packing, ppm, quality_rules
+from tessera.llm import byte_bpe, jaccard_join, kneser_ney, line_dedup, packing, ppm, quality_rules
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.query,
     "op3_ppm": ppm.query,
     "op4_quality_rules": quality_rules.query,
     "op5_kneser_ney": kneser_ney.query,
