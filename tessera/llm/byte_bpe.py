@@ -1,6 +1,6 @@
 """Operator 7: byte-level BPE encoding and decoding by a shuffle of distinct words.
 
-1. One scan splits texts into pre-tokens. Each chunk of about 32 MB of text keeps its pre-tokens in
+1. One scan splits texts into pre-tokens. Each chunk of up to 48 MB of text keeps its pre-tokens in
    order as numbers of a dictionary of its own, and that dictionary.
 2. The dictionaries are dealt by the hash of the word into as many parts as there are chunks; equal
    words meet in one part, where each distinct word is encoded once, however many chunks hold it.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import _text as t
 from tessera.llm._io import arrow_limits, distinct_ids, materialise
 
-CHUNK = 32 << 20
+CHUNK = 48 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,18 +49,38 @@ def _encoding(ranks: dict[bytes, int], pattern: str):
     return kept[key]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers as their low bytes, then the next ones, and so on: far better to compress."""
+def _code(x: np.ndarray) -> bytes:
+    """Numbers as a stream of their bit lengths, and for each length the bits below the first, byte by byte.
+
+    Common words have small numbers, and within a length the bits are near even, so that the entropy
+    coder of each stream meets one distribution only.
+    """
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    up = x.astype(np.int64) + 1
+    length = (np.frexp(up.astype(np.float64))[1] - 1).astype(np.uint8)
+    streams = [length.tobytes()]
+    for k in range(1, int(length.max()) + 1 if len(length) else 0):
+        rest = up[length == k] - (1 << k)
+        streams += [(rest >> (8 * j)).astype(np.uint8).tobytes() for j in range((k + 7) // 8)]
+    packed = [zstandard.ZstdCompressor(level=3).compress(s) for s in streams]
+    return np.array([len(packed), *map(len, packed)], dtype="<u8").tobytes() + b"".join(packed)
 
 
-def _unplanes(b: bytes) -> np.ndarray:
+def _decode(b: bytes) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view("<u4").ravel()
+    n = int(np.frombuffer(b, "<u8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(b, "<u8", n, 8).astype(np.int64))
+    streams = iter([np.frombuffer(zstandard.ZstdDecompressor().decompress(b[a:e]), np.uint8) for a, e in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)])
+    length = next(streams)
+    out = np.zeros(len(length), np.int64)
+    for k in range(1, int(length.max()) + 1 if len(length) else 0):
+        rest = np.int64(1 << k)
+        for j in range((k + 7) // 8):
+            rest = rest + (next(streams).astype(np.int64) << (8 * j))
+        out[length == k] = rest - 1
+    return out
 
 
 def number_words(documents: DataFrame, pattern: str, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -94,7 +114,7 @@ def number_words(documents: DataFrame, pattern: str, chunk_bytes: int = CHUNK) -
             with pa.ipc.new_stream(sink, batch.schema) as writer:
                 writer.write_batch(batch)
             packed = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([_planes(rank[numbers])], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "doc_ids", "counts", "numbers", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([_code(rank[numbers])], pa.binary()), pa.array([packed], pa.binary())], names=["chunk", "doc_ids", "counts", "numbers", "words"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -210,7 +230,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, reduce
         out = []
         for row in left.select(["doc_ids", "counts", "numbers"]).to_pylist():
             bounds = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
-            out.append(reduce(row["doc_ids"], bounds, words, _unplanes(row["numbers"]), byte_table))
+            out.append(reduce(row["doc_ids"], bounds, words, _decode(row["numbers"]), byte_table))
         return pa.Table.from_batches(out)
 
     return chunks.select("chunk", "doc_ids", "counts", "numbers").groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(assemble, schema)
