@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, jaccard_join, kneser_ney, line_dedup, packing, ppm, quality_rules
+from tessera.llm import byte_bpe, jaccard_join, kneser_ney, line_dedup, packing, ppm, projection_forest, quality_rules
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_ppm": ppm.query,
     "op4_quality_rules": quality_rules.query,
     "op5_kneser_ney": kneser_ney.query,
+    "op6_projection_forest": projection_forest.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_jaccard_join": jaccard_join.query,
     "op10_packing": packing.query,
