@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, jaccard_join, kneser_ney, line_dedup, packing, ppm, projection_forest, quality_rules
+from tessera.llm import byte_bpe, jaccard_join, kneser_ney, license_scan, line_dedup, packing, ppm, projection_forest, quality_rules
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
@@ -12,7 +12,8 @@ QUERIES = {
     "op6_projection_forest": projection_forest.query,
     "op7_byte_bpe": byte_bpe.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op9_license_scan": license_scan.query,
     "op10_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
