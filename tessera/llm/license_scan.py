@@ -162,21 +162,21 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER = "translate(TEXT, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + ", '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
 
 
 def oracle(percent: int = PERCENT) -> str:
     """The same scan in DuckDB, every unit against every template."""
     rows = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(TEMPLATES.items()))
-    pairs = "list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
-WITH tw AS (SELECT name, {_WORDS.format("body")} AS w FROM (VALUES {rows}) AS v(name, body)),
+WITH tw AS (SELECT name, {_WORDS.replace("TEXT", "body")} AS w FROM (VALUES {rows}) AS v(name, body)),
 t AS (SELECT name, {pairs} AS b FROM tw),
 u AS (SELECT doc_id, -1 AS line, coalesce(text, '') AS unit FROM documents
       UNION ALL SELECT doc_id, unnest(range(0, len(parts))) AS line, unnest(parts) AS unit
       FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
-uw AS (SELECT doc_id, line, {_WORDS.format("unit")} AS w FROM u),
+uw AS (SELECT doc_id, line, {_WORDS.replace("TEXT", "unit")} AS w FROM u),
 ub AS (SELECT doc_id, line, {pairs} AS b FROM uw WHERE len(w) > 1),
 m AS (SELECT doc_id, line, name, 2.0 * len(list_intersect(ub.b, t.b)) / (len(ub.b) + len(t.b)) AS dice FROM ub JOIN t
       ON {percent} * len(ub.b) <= {200 - percent} * len(t.b) AND {percent} * len(t.b) <= {200 - percent} * len(ub.b)

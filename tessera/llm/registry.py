@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, jaccard_join, kneser_ney, license_scan, line_dedup, packing, ppm, projection_forest, quality_rules
+from tessera.llm import byte_bpe, html_templates, jaccard_join, kneser_ney, license_scan, line_dedup, packing, ppm, projection_forest, quality_rules
 
 QUERIES = {
+    "op1_html_templates": html_templates.query,
     "op2_line_dedup": line_dedup.query,
     "op3_ppm": ppm.query,
     "op4_quality_rules": quality_rules.query,
