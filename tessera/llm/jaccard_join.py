@@ -254,7 +254,9 @@ def _open_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     """Distinct pairs of nodes in different components that share a prefix entry and pass the filters.
 
     In each list every component but its largest is paired with the rest of the list, so a large
-    group that is one component costs nothing by itself.
+    group that is one component costs nothing by itself. The positional filter takes the entry for the
+    pair's first common one: all overlap lies from it on. A similar pair passes there, and need not
+    pass at its later common entries, which keeps it from coming up once for each.
     """
     e = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = e.groupBy("h", "root").agg(F.count("*").alias("many"))
@@ -268,7 +270,7 @@ def _open_pairs(entries: DataFrame, roots: DataFrame, percent: int) -> DataFrame
         (x.h == y.h)
         & F.expr("r1 <> r2 and (r2 = largest or n1 < n2)")
         & F.expr(f"100 * least(s1, s2) >= {percent} * greatest(s1, s2)")
-        & F.expr(f"{100 + percent} * (least(p1, p2) + least(c1 - p1, c2 - p2)) >= {least}"),
+        & F.expr(f"{100 + percent} * least(c1 - p1, c2 - p2) >= {least}"),
     )
     return passed.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
 
