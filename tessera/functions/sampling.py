@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 NEG_INF = float("-inf")
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value worked out once: an expression that stands in a lambda runs for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -27,13 +32,12 @@ def top_k(logits: Column, k: int) -> Column:
     if k <= 0:
         return logits
     bound = F.element_at(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)))
-    return F.transform(logits, lambda x: F.when(x < bound, F.lit(NEG_INF)).otherwise(x))
+    return let(bound, lambda least: F.transform(logits, lambda x: F.when(x < least, F.lit(NEG_INF)).otherwise(x)))
 
 
 def softmax(logits: Column) -> Column:
-    most = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - most))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = let(F.array_max(logits), lambda most: F.transform(logits, lambda x: F.exp(x - most)))
+    return let(shifted, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def top_p(logits: Column, p: float) -> Column:
@@ -50,7 +54,7 @@ def top_p(logits: Column, p: float) -> Column:
         return F.struct(reached.alias("sum"), F.when(keep, F.concat(a["kept"], F.array(s["i"]))).otherwise(a["kept"]).alias("kept"))
 
     kept = F.aggregate(ranked, start, step, lambda a: a["kept"])
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(NEG_INF)))
+    return let(kept, lambda own: F.transform(logits, lambda x, i: F.when(F.array_contains(own, i), x).otherwise(F.lit(NEG_INF))))
 
 
 def argmax(values: Column) -> Column:
@@ -78,19 +82,18 @@ def stops(text: Column, sequences: list[str]) -> Column:
 def cross_entropy(logits: Column, target: Column, ignore: int = 0) -> Column:
     """-log softmax(logits)[target]; null for the target that is ignored."""
     most = F.array_max(logits)
-    lse = most + F.log(total(F.transform(logits, lambda x: F.exp(x - most))))
+    lse = let(most, lambda m: m + F.log(total(F.transform(logits, lambda x: F.exp(x - m)))))
     return F.when(target != ignore, lse - F.element_at(logits, target + 1))
 
 
 def rms_norm(x: Column, eps: float = 1e-6) -> Column:
     scale = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v) / F.size(x) + eps)
-    return F.transform(x, lambda v: v / scale)
+    return let(scale, lambda s: F.transform(x, lambda v: v / s))
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    mean = total(x) / F.size(x)
-    deviation = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / F.size(x) + eps)
-    return F.transform(x, lambda v: (v - mean) / deviation)
+    centred = let(total(x) / F.size(x), lambda mean: F.transform(x, lambda v: v - mean))
+    return let(centred, lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v) / F.size(c) + eps), lambda d: F.transform(c, lambda v: v / d)))
 
 
 def rope(x: Column, position: Column, base: float = 10000.0) -> Column:
