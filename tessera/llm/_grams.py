@@ -17,13 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as t
-from tessera.llm._io import CHUNK_BYTES
+from tessera.llm._io import CHUNK_BYTES, n_chunks
 
 START, END = 0xFE, 0xFF
 #: The key that stands for the end of a text among word keys.
 END_WORD = 0x1F2E3D4C5B6A7988
 
 
+def parts_for(total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> int:
+    """Parts in which keys meet; one takes a few million entries also where small partitions make many chunks."""
+    return max(16, n_chunks(total_bytes, chunk_bytes) // 4)
+
+
 def pack(keys: np.ndarray, values: np.ndarray) -> bytes:
     """Sorted unsigned keys as steps and 8-byte values, byte plane by byte plane."""
     import zstandard

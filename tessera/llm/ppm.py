@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _grams as gr
-from tessera.llm._io import CHUNK_BYTES, arrow_limits, materialise, n_chunks, text_bytes
+from tessera.llm._io import CHUNK_BYTES, arrow_limits, materialise, text_bytes
 
 ORDER = 5
 SYMBOLS = 255  # the bytes of UTF-8 and the end
@@ -63,7 +63,7 @@ def code_lengths(counts: DataFrame, order: int) -> DataFrame:
 def score(documents: DataFrame, held_out: str, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's log10 probability under the model and the word baseline, learned from rows not held_out (SQL)."""
     arrow_limits(documents.sparkSession)
-    parts = max(1, n_chunks(text_bytes(documents, text), chunk_bytes) // 8)
+    parts = gr.parts_for(text_bytes(documents, text), chunk_bytes)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(None).cast("string").alias("tag"), F.expr(f"not coalesce({held_out}, false)").alias("train"))
     scanned = materialise(gr.scan(rows, order, parts, words=True, chunk_bytes=chunk_bytes), "kind")
     grams, words = scanned.filter("kind = 1"), scanned.filter("kind = 2")
