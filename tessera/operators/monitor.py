@@ -94,7 +94,8 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a log, without lines that are no JSON; missing numbers are 0, val_loss stays null."""
-    log = spark.read.schema(LOG_SCHEMA + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    parsed = F.from_json("value", LOG_SCHEMA + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    log = spark.read.text(path).filter("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
     return log.filter("_corrupt is null").drop("_corrupt").fillna({"step": 0, "loss": 0.0, "tokens_seen": 0, "lr": 0.0, "timestamp": ""})
 
 
