@@ -12,7 +12,7 @@ def test_stages_over_documents(spark, sf_dir):
         docs = spark.read.parquet(path)
         n = docs.count()
         assert 0 < n <= before and docs.select("doc_id").distinct().count() == n, name
-        assert n < before or name in ("line dedup", "quality rules"), name
+        assert n < before or name != "quality classifier", name
         before = n
     packed = cp.STAGES[4][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == before
