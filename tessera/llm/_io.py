@@ -52,7 +52,7 @@ def n_chunks(total_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> int:
     return max(1, -(-total_bytes // chunk_bytes))
 
 
-def distinct_ids(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def id_and_text(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator works on; extra columns of whatever name stay out of the way."""
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 

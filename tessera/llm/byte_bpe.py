@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as t
-from tessera.llm._io import arrow_limits, distinct_ids, materialise
+from tessera.llm._io import arrow_limits, id_and_text, materialise
 
 CHUNK = 48 << 20
 
@@ -129,7 +129,7 @@ def number_words(documents: DataFrame, pattern: str, chunk_bytes: int = CHUNK) -
         if docs:
             yield chunk()
 
-    return distinct_ids(documents).mapInArrow(run, "chunk long, doc_ids array<long>, counts array<long>, numbers binary, words binary")
+    return id_and_text(documents).mapInArrow(run, "chunk long, doc_ids array<long>, counts array<long>, numbers binary, words binary")
 
 
 def _bundle(numbers: np.ndarray, lengths: np.ndarray, data: bytes) -> bytes:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as t
-from tessera.llm._io import CHUNK_BYTES, arrow_limits, distinct_ids, drop, materialise, text_bytes
+from tessera.llm._io import CHUNK_BYTES, arrow_limits, id_and_text, drop, materialise, text_bytes
 from tessera.llm.components import components
 
 WIDTH = 5
@@ -280,7 +280,7 @@ def near_duplicates(documents: DataFrame, width: int = WIDTH, percent: int = PER
     spark = documents.sparkSession
     arrow_limits(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    documents = distinct_ids(documents)
+    documents = id_and_text(documents)
     most = max(1, text_bytes(documents) // 2)  # shingles there can be
     bits = min(60, max(24, math.ceil(math.log2(most)) + 5))
     range_bits = max(0, math.ceil(math.log2(most / 3 / RANGE_SHINGLES))) if most > 3 * RANGE_SHINGLES else 0

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as t
-from tessera.llm._io import arrow_limits, distinct_ids
+from tessera.llm._io import arrow_limits, id_and_text
 
 PERCENT = 90
 
@@ -150,7 +150,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, percent:
                 best = [max(m, key=lambda x: (x["dice"], x["line"] < 0, -x["line"])) if m else {"license": None, "dice": None} for m in matches]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x["license"] for x in best], pa.string()), pa.array([x["dice"] for x in best], pa.float64()), pa.array([len(m) for m in matches], pa.int64()), pa.array(matches, kind)], names=["doc_id", "license", "dice", "n_matches", "matches"])
 
-    return distinct_ids(documents).mapInArrow(run, schema)
+    return id_and_text(documents).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
