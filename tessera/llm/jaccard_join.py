@@ -36,7 +36,7 @@ from tessera.llm.components import components
 WIDTH = 5
 PERCENT = 75
 #: Shingles in one range of hashes, which one task adds up.
-RANGE_SHINGLES = 1 << 22
+RANGE_SHINGLES = 1 << 21
 
 
 def at_least(percent: int, n):
