@@ -6,12 +6,21 @@ licence may be the text, or a line of it. Dice = 2 |A and B| / (|A| + |B|) >= pe
 templates with percent |A| <= (200 - percent) |B| and the reverse, which prunes candidates by size;
 units that hold too few bigrams of any template are passed over before their sets are built.
 
+A licence that is neither the text nor a line of it (wrapped over lines, or within a line) is found as a window:
+a run of words of one text, with up to a quarter more bigrams than the template has. A template's windows are
+taken best first and do not overlap each other; of the windows of several templates and of matched texts and
+lines that overlap, the one that shares most bigrams with its template is kept, and of these the one of best Dice. MORE and the
+full texts in licenses/ are compared as windows alone, as the SQL knows TEMPLATES, texts and lines only;
+a window is listed with the line of its first word.
+
 Defined results: null or empty texts, and units of fewer than two words, match nothing; of equal Dice
 the template first by name wins; repeated rows are scanned each; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +82,49 @@ TEMPLATES: dict[str, str] = {
     "mit-line": "Released under the MIT License.",
 }
 
+#: More notices, compared as windows.
+MORE: dict[str, str] = {
+    "agpl-3.0-notice": TEMPLATES["gpl-3.0-notice"].replace("GNU General", "GNU Affero General"),
+    "bsd-3-clause": TEMPLATES["bsd-2-clause"].replace(
+        "THIS SOFTWARE IS",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. THIS SOFTWARE IS",
+        1,
+    ),
+    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., "
+        "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    ),
+    "lgpl-3.0-notice": TEMPLATES["gpl-3.0-notice"].replace("This program", "This library").replace("this program", "this library").replace("GNU General", "GNU Lesser General"),
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the "
+        "public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+}
+
+
+def window_templates() -> dict[str, str]:
+    """All that is looked for in windows: TEMPLATES, MORE and the full texts."""
+    full = {f.stem.lower() + "-text": f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    return TEMPLATES | MORE | full
+
+
 _WORD_BYTE = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
@@ -133,20 +185,93 @@ class Templates:
         return sorted(found)
 
 
+class Windows:
+    """Templates to be found anywhere within texts."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.names = sorted(texts)
+        found = [bigrams(pa.array([texts[n]]), False)[0] for n in self.names]
+        self.sets = [np.unique(x) for x in found]
+        self.most = [len(x) + -(-len(x) // 4) for x in found]
+        self.union = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+    def scan(self, column, percent: int, units: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+        """(text, line of the first word, name, Dice). units: text, line or -1 and shared bigrams of what is matched already."""
+        if not len(self.union):
+            return []
+        data, offsets = t.utf8(column)
+        data = t.lower_ascii(data)
+        starts, ends = t.spans(_WORD_BYTE[data], offsets)
+        hashes = t.joined(t.span_hashes(data, starts, ends), 2)
+        if not len(hashes):
+            return []
+        text_of = t.owner(starts, offsets)
+        across = text_of[1:] != text_of[:-1]
+        hit = ~across & (self.union[np.minimum(np.searchsorted(self.union, hashes), len(self.union) - 1)] == hashes)
+        if not hit.any():
+            return []
+        where = np.flatnonzero(hit)
+        breaks = np.cumsum(data == 10)
+        lines = breaks[starts] - np.concatenate([[0], breaks])[offsets[text_of]]
+        last = np.searchsorted(text_of, text_of, side="right") - 1  # bigrams of a word's text end before this one
+        covered = np.zeros(len(hashes), np.int64)  # the most bigrams shared by a match that a bigram is in
+        for text, line, size in units:
+            a, b = np.searchsorted(text_of, [text, text + 1])
+            if line >= 0:
+                a, b = a + np.searchsorted(lines[a:b], [line, line + 1])
+            covered[a : b - 1] = np.maximum(covered[a : b - 1], size)
+        chosen = []
+        for own, most, name in zip(self.sets, self.most, self.names, strict=True):
+            if not len(own):
+                continue
+            places = where[np.isin(hashes[where], own)]
+            need = -(-percent * len(own) // (200 - percent))
+            many = np.searchsorted(places, np.minimum(places + most, last[places])) - np.arange(len(places))
+            options = []
+            for i in places[many >= need]:
+                stop = min(i + most, last[i])
+                part = hashes[i:stop]
+                first = np.zeros(len(part), bool)
+                first[np.unique(part, return_index=True)[1]] = True
+                mine = np.isin(part, own)
+                shared, size = np.cumsum(first & mine), np.cumsum(first)
+                good = (200 * shared >= percent * (size + len(own))) & mine
+                if good.any():
+                    dice = np.where(good, 2 * shared / (size + len(own)), 0)
+                    j = int(np.argmax(dice))
+                    options.append((-float(dice[j]), int(i), int(i) + j + 1, int(shared[j])))
+            taken = np.zeros(len(hashes) if options else 0, bool)
+            for dice, a, b, shared in sorted(options):
+                if not taken[a:b].any():
+                    taken[a:b] = True
+                    chosen.append((-shared, dice, name, a, b))
+        found = []
+        for shared, dice, name, a, b in sorted(chosen):
+            if covered[a:b].max() < -shared:
+                covered[a:b] = -shared
+                found.append((int(text_of[a]), int(lines[a]), name, -dice))
+        return sorted(found)
+
+
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, license and dice of its best match (the whole text before lines, earlier lines first), n_matches, matches."""
     arrow_limits(documents.sparkSession)
     known = TEMPLATES if templates is None else templates
+    within = window_templates() if templates is None else templates
     schema = "doc_id long, license string, dice double, n_matches long, matches array<struct<line: int, license: string, dice: double>>"
 
     def run(batches):
-        held = Templates(known)
+        held, windows = Templates(known), Windows(within)
         kind = pa.list_(pa.struct([("line", pa.int32()), ("license", pa.string()), ("dice", pa.float64())]))
         for batch in batches:
             for a, b in t.pieces(batch.column(1)):
                 matches: list[list[dict]] = [[] for _ in range(b - a)]
-                for text, line, k, dice, _ in held.scan(batch.column(1).slice(a, b - a), percent):
+                part = batch.column(1).slice(a, b - a)
+                units = held.scan(part, percent)
+                for text, line, k, dice, _ in units:
                     matches[text].append({"line": line, "license": held.names[k], "dice": dice})
+                for text, line, name, dice in windows.scan(part, percent, [(text, line, shared) for text, line, _, _, shared in units]):
+                    matches[text].append({"line": line, "license": name, "dice": dice})
                 best = [max(m, key=lambda x: (x["dice"], x["line"] < 0, -x["line"])) if m else {"license": None, "dice": None} for m in matches]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x["license"] for x in best], pa.string()), pa.array([x["dice"] for x in best], pa.float64()), pa.array([len(m) for m in matches], pa.int64()), pa.array(matches, kind)], names=["doc_id", "license", "dice", "n_matches", "matches"])
 

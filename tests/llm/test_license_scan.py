@@ -35,6 +35,21 @@ def test_against_all_templates(spark):
     assert ls.scan(cases.empty(spark)).count() == 0
 
 
+def test_wrapped_and_embedded_licences(spark):
+    import textwrap
+
+    story = "\n".join(f"This is line {i} of a long story about nothing much at all." for i in range(60))
+    full = ls.window_templates()
+    names = ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0-notice", "gpl-3.0-notice", "agpl-3.0-notice", "unlicense", "apache-2.0-text", "gpl-3-text"]
+    texts = [f"{story}\n{textwrap.fill(full[n], 70)}\n{story}" for n in names] + ["Copyright 2020 X. All rights reserved.", "x\nit is released under the MIT license, see there", story]
+    got = {r["doc_id"]: r["matches"] for r in ls.scan(cases.documents(spark, texts)).collect()}
+    for i, n in enumerate(names):
+        assert [(m["line"], m["license"]) for m in got[i]][:1] == [(60, n)] and got[i][0]["dice"] > 0.99, (n, got[i])
+    assert [(m["line"], m["license"]) for m in got[len(names)]] == [(0, "all-rights-reserved")]
+    assert [(m["line"], m["license"]) for m in got[len(names) + 1]] == [(1, "mit-line")]
+    assert got[len(names) + 2] == []
+
+
 def test_no_templates(spark):
     assert all(r["n_matches"] == 0 for r in ls.scan(cases.documents(spark), {}).collect())
 
