@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import mmap
 import random
+import tempfile
+from array import array
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.rowindex import with_row_index
+from tessera.sources.shared import materialise, shared_folder
 
-#: Rows up to which the seeded permutation is made on the driver.
-MAX_SEEDED = 2_000_000
+#: Rows of the seeded permutation that are handed to Spark at a time.
+BLOCK_ROWS = 1 << 20
 
 
 def sizes(n: int, validation_ratio: float, test_ratio: float) -> tuple[int, int, int]:
@@ -32,23 +37,32 @@ def _named(df: DataFrame, rank: str, n: int, validation_ratio: float, test_ratio
     return df.withColumn("split", F.when(F.col(rank) < train, "train").when(F.col(rank) < train + val, "val").otherwise("test"))
 
 
+def _permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """_index, split_rank: random.Random(seed).shuffle of range(n), shuffled in a file and written in blocks."""
+    path, schema = shared_folder(spark), "_index long, split_rank long"
+    with tempfile.TemporaryFile() as file:
+        for at in range(0, n, BLOCK_ROWS):
+            file.write(array("q", range(at, min(n, at + BLOCK_ROWS))).tobytes())
+        file.flush()
+        with mmap.mmap(file.fileno(), 8 * n) as mapped, memoryview(mapped) as held, held.cast("q") as places:
+            random.Random(seed).shuffle(places)
+            for at in range(0, n, BLOCK_ROWS):
+                end = min(n, at + BLOCK_ROWS)
+                block = pa.table({"_index": pa.array(array("q", places[at:end]), pa.int64()), "split_rank": pa.array(range(at, end), pa.int64())})
+                spark.createDataFrame(block, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def seeded(df: DataFrame, *order: str, validation_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """df with split and split_rank, as shuffling the ordered list with random.Random(seed) deals it.
+    """df with split and split_rank, as shuffling the ordered list with random.Random(seed) deals it, at any size.
 
-    The permutation depends on n and the seed alone, so it is made on the driver, up to MAX_SEEDED
-    rows; beyond that use by_hash().
+    The permutation depends on n and the seed alone. It is sequential, so the driver makes it, in a mapped
+    file of 8 bytes a row; Spark gets it in blocks, as a table that is joined.
     """
-    indexed = with_row_index(df, *order, name="_index")
+    indexed = materialise(with_row_index(df, *order, name="_index"))
     n = indexed.count()
-    if n > MAX_SEEDED:
-        raise ValueError(f"{n} rows: the seeded permutation is for {MAX_SEEDED} rows at most; use by_hash()")
-    places = list(range(n))
-    random.Random(seed).shuffle(places)
-    ranks = [0] * n
-    for rank, place in enumerate(places):
-        ranks[place] = rank
-    table = df.sparkSession.createDataFrame(list(enumerate(ranks)), "_index long, split_rank long")
-    return _named(indexed.join(table, "_index").drop("_index"), "split_rank", n, validation_ratio, test_ratio)
+    sizes(n, validation_ratio, test_ratio)
+    return _named(indexed.join(_permutation(df.sparkSession, n, seed), "_index").drop("_index"), "split_rank", n, validation_ratio, test_ratio)
 
 
 def by_hash(df: DataFrame, key: str, validation_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
