@@ -10,7 +10,8 @@ make up the template; what stands between two neighbouring template tags is a sl
 Slots are judged as wholes. A slot is boilerplate if its path leads through an element that is not
 content (head, nav, header, footer, aside, form, script ...; or by name: menu, sidebar, comments,
 notice, ad ...), or, outside an article, if most of its characters are links. Text outside an article
-that is itself in the template of at least CONSTANT_PAGES pages is boilerplate as well. If
+that is itself in the template is boilerplate as well if it stands on at least CONSTANT_PAGES pages and on
+more than half of the group, where copies (pages of equal tokens) count as one page. If
 the template has an article (article or main element, or an element named so), its slots are the main
 text; else the remaining slots are. A page alone in its group is its own template, so that its slots
 are its elements.
@@ -73,6 +74,7 @@ class Token:
     link: bool = False
     breaks: bool = False
     template: bool = field(default=False, compare=False)
+    constant: bool = field(default=False, compare=False)
 
 
 def _words(value: str) -> set[str]:
@@ -187,22 +189,26 @@ def _ordered(roles: list[tuple], where: list[dict[tuple, list[int]]]) -> list[li
 
 
 def mark_template(pages: list[list[Token]]) -> None:
-    """Set template on the tokens of valid classes."""
+    """Set template on the tokens of valid classes, and constant on those of them that most pages hold."""
     where: list[dict[tuple, list[int]]] = []
     for page in pages:
         places: dict[tuple, list[int]] = defaultdict(list)
         for i, token in enumerate(page):
             places[token.role].append(i)
         where.append(places)
+    distinct = {tuple(token.role for token in page): places for page, places in zip(pages, where, strict=True)}
+    need = max(CONSTANT_PAGES, len(distinct) // 2 + 1)
     gaps = [[0] * len(page) for page in pages]  # the gap of the template that each position lies in
     for roles in equivalence_classes(pages):
         repeats = _ordered(roles, where)
         if repeats is None or any(gaps[i][r[0]] != gaps[i][r[-1]] for i, own in enumerate(repeats) for r in own):
             continue
+        constant = sum(roles[0] in places for places in distinct.values()) >= need  # the roles of a class stand on the same pages
         for i, own in enumerate(repeats):
             taken = sorted(x for r in own for x in r)
             for x in taken:
                 pages[i][x].template = True
+                pages[i][x].constant = constant
             if len(own) == 1 and len(roles) > 1:  # later classes must not cross this one
                 gap, k = gaps[i], 0
                 for x in range(len(gap)):
@@ -220,7 +226,7 @@ def slots(page: list[Token]) -> list[list[Token]]:
     return out
 
 
-def _judge(slot: list[Token], has_main: bool, constant: bool) -> list[Token]:
+def _judge(slot: list[Token], has_main: bool) -> list[Token]:
     """What of a slot is main text."""
     texts = [x for x in slot if x.role[1] == "text" and x.role[2]]
     if not texts or all(x.never for x in texts):
@@ -230,7 +236,7 @@ def _judge(slot: list[Token], has_main: bool, constant: bool) -> list[Token]:
     links = sum(len(x.role[2]) for x in texts if x.link)
     if 2 * links > sum(len(x.role[2]) for x in texts):
         return [x for x in slot if x.breaks]
-    return [x for x in slot if x.breaks or not (x.never or constant and x.template)]
+    return [x for x in slot if x.breaks or not (x.never or x.constant)]
 
 
 def extract(group: list[str]) -> list[tuple[str, list[str]]]:
@@ -242,7 +248,7 @@ def extract(group: list[str]) -> list[tuple[str, list[str]]]:
         has_main = any(x.main and not x.never and x.role[1] == "text" and x.role[2] for x in page)
         blocks: list[str] = [""]
         for slot in slots(page):
-            for token in _judge(slot, has_main, len(pages) >= CONSTANT_PAGES):
+            for token in _judge(slot, has_main):
                 if token.breaks:
                     blocks.append("")
                 else:

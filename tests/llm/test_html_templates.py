@@ -27,6 +27,18 @@ def test_without_an_article_shared_text_and_links_go():
     assert got == [f"Own text number {i} of this page" for i in range(4)]
 
 
+def test_without_an_article_text_of_few_pages_and_of_copies_stays():
+    page = "<html><body><div><p>Read our terms of use</p></div><div>{}</div></body></html>"
+    own = [f"<p>Own text number {i} of this page</p>" for i in range(8)]
+    own[2] += "<p>A passage that two pages share</p>"
+    own[3] += "<p>A passage that two pages share</p>"
+    own[5] = own[6] = own[4]
+    expected = [" ".join(x for x in ("".join(y.split("</p>")).replace("<p>", "|").split("|")) if x) for y in own]
+    assert [x for x, _ in h.extract([page.format(x) for x in own])] == expected
+    # copies are no evidence of a template, however many they are
+    assert [x for x, _ in h.extract([page.format(own[0])] * 5)] == ["Read our terms of use " + expected[0]] * 5
+
+
 def test_article_text_shared_by_all_pages_stays():
     page = "<html><body><nav>m{i}</nav><article><p>Same words</p><p>Own {i}</p></article></body></html>"
     assert [x for x, _ in h.extract([page.format(i=i) for i in range(4)])] == [f"Same words Own {i}" for i in range(4)]
