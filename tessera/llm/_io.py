@@ -57,6 +57,15 @@ def id_and_text(documents: DataFrame, id_col: str = "doc_id", text: str = "text"
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id, hash of the text (version) and, if kept has it, lang are in kept; nulls are equal."""
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_version"))
+    named = kept.withColumnsRenamed({"doc_id": "_id", "version": "_version", "lang": "_lang"})
+    if "lang" in kept.columns:
+        same &= F.col("lang").cast("string").eqNullSafe(F.col("_lang"))
+    return docs.join(named, same, "left_semi")
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that materialise() wrote, once nothing will read it again."""
     jvm = df.sparkSession._jvm

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as t
-from tessera.llm._io import CHUNK_BYTES, arrow_limits, id_and_text, drop, materialise, text_bytes
+from tessera.llm._io import CHUNK_BYTES, arrow_limits, id_and_text, drop, materialise, rows_of, text_bytes
 from tessera.llm.components import components
 
 WIDTH = 5
@@ -313,6 +313,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates stays: that of the least doc_id."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates stays: that of the least doc_id (null last). Rows are told apart by
+    doc_id and text; texts without words are nobody's duplicates, so all their rows stay."""
+    version = F.xxhash64(F.col("text").cast("string"))
+    # a text, by its hash, is in one component whatever its rows are
+    of_text = near_duplicates(docs.select(version.alias("doc_id"), "text")).select(F.col("doc_id").alias("version"), "n_shingles", F.col("component_id").alias("root"))
+    of_text = materialise(of_text.groupBy("version").agg(F.max("n_shingles").alias("n_shingles"), F.min("root").alias("root")))
+    firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version")).groupBy("version").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+    least = firsts.join(of_text.filter("n_shingles > 0"), "version").groupBy("root").agg(F.min(F.struct("first", "version")).alias("kept"))
+    kept = least.select(F.col("kept.first.doc_id").alias("doc_id"), F.col("kept.version").alias("version"))
+    worded = rows_of(docs, kept).withColumn("_v", version).dropDuplicates(["doc_id", "_v"]).drop("_v")
+    blank = of_text.filter("n_shingles = 0").select(F.col("version").alias("_version"))
+    if blank.count() <= 1 << 18:
+        blank = F.broadcast(blank)
+    return worded.unionByName(docs.join(blank, version == F.col("_version"), "left_semi"))

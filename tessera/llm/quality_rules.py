@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _text as t
-from tessera.llm._io import arrow_limits, materialise
+from tessera.llm._io import arrow_limits, materialise, rows_of
 
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
@@ -87,7 +87,7 @@ def statistics(column) -> dict[str, np.ndarray]:
 
 
 def with_statistics(documents: DataFrame, id_col: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the statistics of each row; only three columns are read."""
+    """doc_id, stratum, version (hash of the text) and the statistics of each row; only three columns are read."""
     arrow_limits(documents.sparkSession)
 
     def run(batches):
@@ -95,10 +95,10 @@ def with_statistics(documents: DataFrame, id_col: str = "doc_id", text: str = "t
             for a, b in t.pieces(batch.column(2)):
                 part = batch.slice(a, b - a)
                 found = statistics(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v.astype(np.int64)) for v in found.values())], names=["doc_id", "stratum", *found])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *(pa.array(v.astype(np.int64)) for v in found.values())], names=["doc_id", "stratum", "version", *found])
 
-    narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id long, stratum string, {STATISTICS}")
+    narrow = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    return narrow.mapInArrow(run, f"doc_id long, stratum string, version long, {STATISTICS}")
 
 
 def upper_bound(k: int, n: int, level: float) -> float:
@@ -179,6 +179,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    verdicts = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi")
+    """The rows of docs that the rules keep, with all their columns; null and repeated doc_ids are judged row by row."""
+    verdicts = judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select("doc_id", "version", F.col("stratum").alias("lang"))
+    return rows_of(docs, verdicts.distinct())
