@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         tokenizer.save(args.output)
         print(json.dumps(made))
     elif args.command == "validate":
-        report = validate.validate_files(spark, args.input, validate.ValidationConfig(args.text_field, args.min_chars, args.max_chars))
+        report = validate.validate_files(spark, args.input, validate.ValidationConfig(args.text_field, args.min_chars, args.max_chars), os.path.abspath(args.report) + ".duplicates" if args.report else None)
         print(report.summary())
         if args.report:
             save_json(report.to_dict(), args.report)

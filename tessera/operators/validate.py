@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.sources import jsonl
+from tessera.sources.shared import shared_folder
 
 STATUSES = ("empty", "malformed_json", "missing_text_field", "too_short", "too_long", "invalid_unicode", "metadata_inconsistencies", "duplicates", "valid")
 
@@ -40,6 +41,22 @@ class ValidationConfig:
             raise ConfigError("unknown normalization", "dedup_normalization", self.dedup_normalization)
 
 
+@dataclass(frozen=True)
+class Hashes:
+    """The keys of duplicates as a table (file, block, seq, key) in the order of the input; only path and count are held."""
+
+    path: str = ""
+    count: int = 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self):
+        if self.count:
+            rows = SparkSession.getActiveSession().read.parquet(self.path).orderBy("file", "block", "seq").select("key")
+            yield from (r["key"] for r in rows.toLocalIterator())
+
+
 @dataclass
 class ValidationReport:
     files_scanned: int = 0
@@ -55,7 +72,7 @@ class ValidationReport:
     metadata_inconsistencies: int = 0
     final_usable: int = 0
     files: list[dict] = field(default_factory=list)
-    duplicate_hashes: list[str] = field(default_factory=list)
+    duplicate_hashes: Hashes = field(default_factory=Hashes)
 
     @property
     def invalid_total(self) -> int:
@@ -106,8 +123,11 @@ def counts(statuses: DataFrame) -> DataFrame:
     return found.withColumn("invalid_total", invalid).withColumn("final_usable", F.col("valid") - F.col("duplicates"))
 
 
-def validate_files(spark: SparkSession, paths: str | list[str], config: ValidationConfig | None = None) -> ValidationReport:
-    """The report over JSON lines files; files that are missing are listed with an error."""
+def validate_files(spark: SparkSession, paths: str | list[str], config: ValidationConfig | None = None, hashes_path: str | None = None) -> ValidationReport:
+    """The report over JSON lines files; files that are missing are listed with an error.
+
+    The hashes of all duplicates are written as a table to hashes_path, or else to the shared folder.
+    """
     import os
 
     config = config or ValidationConfig()
@@ -117,11 +137,12 @@ def validate_files(spark: SparkSession, paths: str | list[str], config: Validati
     valid = F.is_valid_utf8("raw")
     parsed = jsonl.parse(lines.withColumn("ok", valid).withColumn("raw", F.when(valid, F.col("raw")).otherwise("{}")), config.text_field)
     found = with_status(parsed, "file", "block", "seq", config=config, kind="kind", keys="keys").withColumn("status", F.when(~F.col("ok"), "invalid_unicode").otherwise(F.col("status")))
-    found = found.select("file", "status", tx.dedup_key(F.col("text"), config.dedup_normalization).alias("key")).persist()
+    found = found.select("file", "block", "seq", "status", tx.dedup_key(F.col("text"), config.dedup_normalization).alias("key")).persist()
     try:
         row = counts(found).drop("invalid_total").first().asDict()
         per = {r["file"]: r for r in found.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "valid").alias("valid")).collect()}
-        hashes = [r["key"] for r in found.filter("status = 'duplicates'").select("key").collect()] if row["duplicates"] <= 100_000 else []
+        hashes = Hashes(hashes_path or shared_folder(spark), row["duplicates"])
+        found.filter("status = 'duplicates'").select("file", "block", "seq", "key").write.mode("overwrite").parquet(hashes.path)
     finally:
         found.unpersist()
     listed = [{"path": p, "exists": os.path.exists(p), "records": per[i]["n"] if i in per else 0, "valid": per[i]["valid"] if i in per else 0, "errors": [] if os.path.isfile(p) else ["file not found" if not os.path.exists(p) else "not a regular file"]} for i, p in enumerate(files)]
