@@ -19,7 +19,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Perplexity models, learned cutoffs and SimHash have no form in SQL; tests compare the stages with brute force.
+#: Perplexity models, learned cutoffs and SimHash have no form in SQL; the stages are not compared with brute force yet.
 ORACLE_SQL = None
 
 
