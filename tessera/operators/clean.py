@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,19 +68,26 @@ def steps(text: Column, config: CleaningConfig) -> list[tuple[str, Column]]:
 def cleaned(df: DataFrame, text: str = "text", config: CleaningConfig | None = None) -> DataFrame:
     """df with clean (null: removed), reason, and what each step changed."""
     config = config or CleaningConfig()
-    out, now = df, text
+    step = {"unicode_normalized": lambda c: tx.unicode_norm(c, config.unicode_normalization), "control_chars_removed": tx.strip_control, "whitespace_normalized": tx.fold_lines}
+    own = uuid.uuid4().hex  # a name that no column of df has
+
+    def once(rows: DataFrame, *made: Column) -> DataFrame:
+        """rows with a struct of columns that are worked out once, whatever reads or filters them later."""
+        return rows.withColumn("made", F.explode(F.array(F.struct(*made))))
+
+    rows, now, changed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("now")), F.col("now"), []
     for name, _ in steps(F.lit(""), config):
-        step = {"unicode_normalized": lambda c: tx.unicode_norm(c, config.unicode_normalization), "control_chars_removed": tx.strip_control, "whitespace_normalized": tx.fold_lines}[name]
-        out = out.withColumn(f"_{name}", step(F.col(now)))
-        out = out.withColumn(name, F.col(f"_{name}") != F.col(now))
-        now = f"_{name}"
+        made = F.col(f"made.{own}")
+        rows = once(rows, step[name](now).alias(own)).select("row", *changed, made.alias("now"), (made != now).alias(name))
+        changed.append(name)
     reason = F.lit(None).cast("string")
     if config.remove_excessive_repetition:
-        reason = F.when(tx.is_repetitive(F.col(now), config.repetition_threshold, config.repetition_min_lines), "repetition_removed")
+        reason = F.when(tx.is_repetitive(now, config.repetition_threshold, config.repetition_min_lines), "repetition_removed")
     if config.remove_empty:
-        reason = F.when(tx.is_blank(F.col(now)), "empty_removed").otherwise(reason)
-    out = out.withColumn("reason", reason).withColumn("clean", F.when(F.col("reason").isNull(), F.col(now)))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in df.columns])
+        reason = F.when(tx.is_blank(now), "empty_removed").otherwise(reason)
+    rows = once(rows, reason.alias("reason"))
+    out = rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns], *changed, F.col("made.reason").alias("reason"), F.when(F.col("made.reason").isNull(), now).alias("clean"))
+    return out
 
 
 def clean(df: DataFrame, text: str = "text", config: CleaningConfig | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,9 +30,10 @@ def with_key(df: DataFrame, text: str = "text", normalization: str = "whitespace
 
 def first_wins(df: DataFrame, *order: str, text: str = "text", normalization: str = "whitespace") -> DataFrame:
     """The first row in `order` of each text; Catalyst limits each key to one row before the shuffle as well."""
-    ranked = with_key(df, text, normalization, "_key")
-    window = W.partitionBy("_key").orderBy(*order)
-    return ranked.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_key", "_rank")
+    key, rank = uuid.uuid4().hex, uuid.uuid4().hex  # names that no column of df has
+    window = W.partitionBy(key).orderBy(*order)
+    ranked = with_key(df, text, normalization, key).withColumn(rank, F.row_number().over(window))
+    return ranked.filter(F.col(rank) == 1).drop(key, rank)
 
 
 def first_ids(df: DataFrame, order: str, text: str = "text", normalization: str = "whitespace") -> DataFrame:
@@ -52,12 +54,14 @@ def read_report(df: DataFrame, text: str = "text", normalization: str = "whitesp
 
 def overlap(a: DataFrame, b: DataFrame, text: str = "text", normalization: str = "whitespace") -> DataFrame:
     """The rows of b, repeats included, whose text a holds too."""
-    return with_key(b, text, normalization, "_key").join(with_key(a, text, normalization, "_key").select("_key").distinct(), "_key", "left_semi").drop("_key")
+    key = uuid.uuid4().hex
+    return with_key(b, text, normalization, key).join(with_key(a, text, normalization, key).select(key).distinct(), key, "left_semi").drop(key)
 
 
 def without(a: DataFrame, b: DataFrame, text: str = "text", normalization: str = "whitespace") -> DataFrame:
     """The rows of b whose text a does not hold."""
-    return with_key(b, text, normalization, "_key").join(with_key(a, text, normalization, "_key").select("_key").distinct(), "_key", "left_anti").drop("_key")
+    key = uuid.uuid4().hex
+    return with_key(b, text, normalization, key).join(with_key(a, text, normalization, key).select(key).distinct(), key, "left_anti").drop(key)
 
 
 def near_duplicate_clusters(df: DataFrame, threshold: float = 0.8, num_perm: int = 128) -> DataFrame:

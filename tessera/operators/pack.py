@@ -21,10 +21,16 @@ def chunks(df: DataFrame, ids: str, *order: str, context_length: int, keep_full_
     rows = with_row_index(df.select(*order, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_n")).filter("_n > 0"), *order, running={"_at": "_n"})
     total = int(rows.agg(F.coalesce(F.max(F.col("_at") + F.col("_n")), F.lit(0))).first()[0])
     n = (total if keep_full_last else total - 1) // size if total else 0
-    pieces = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("_n") - 1) / size)))).filter(F.col("chunk") < n)
-    begin = F.greatest(F.col("chunk") * size - F.col("_at"), F.lit(0))
-    end = F.least((F.col("chunk") + 1) * size - F.col("_at"), F.col("_n"))
-    cut = pieces.select("chunk", F.struct("_at", F.slice("_ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part")).alias("s"))
+
+    def cut_at(chunk: Column) -> Column:
+        begin = F.greatest(chunk * size - F.col("_at"), F.lit(0))
+        end = F.least((chunk + 1) * size - F.col("_at"), F.col("_n"))
+        return F.struct(chunk.alias("chunk"), F.slice("_ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+
+    # a row is cut before it is exploded, so that its ids are not copied into each of its pieces
+    crossed = F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("_n") - 1) / size))
+    cut = rows.select("_at", F.explode(F.transform(crossed, cut_at)).alias("piece")).filter(F.col("piece.chunk") < n)
+    cut = cut.select(F.col("piece.chunk").alias("chunk"), F.struct("_at", F.col("piece.part").alias("part")).alias("s"))
     out = cut.groupBy("chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["part"])).alias("input_ids"))
     if at_least_one and n == 0:
         return df.sparkSession.range(1).select(F.col("id").alias("chunk"), F.array_repeat(F.lit(0), size).alias("input_ids"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,18 +20,19 @@ def with_row_index(df: DataFrame, *order: str, name: str = "row_index", running:
     the partition is a table with a row per partition, which alone comes to the driver.
     """
     running = running or {}
+    id_, part, rows_ = (uuid.uuid4().hex for _ in range(3))  # names that no column of df has
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    placed = materialise(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    placed = materialise(ranged.withColumn(id_, F.monotonically_increasing_id())).withColumn(part, F.shiftright(id_, 33))
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k) for k, c in running.items()]
-    before = {k: 0 for k in ("_rows", *running)}
+    before = {k: 0 for k in (rows_, *running)}
     rows = []
-    for row in placed.groupBy("_part").agg(F.count("*").alias("_rows"), *sums).orderBy("_part").collect():
-        rows.append((row["_part"], *before.values()))
+    for row in placed.groupBy(part).agg(F.count("*").alias(rows_), *sums).orderBy(part).collect():
+        rows.append((row[part], *before.values()))
         before = {k: before[k] + row[k] for k in before}
-    offsets = spark.createDataFrame(rows, "_part long, _rows long" + "".join(f", `_before_{k}` long" for k in running))
-    joined = placed.join(F.broadcast(offsets), "_part")  # a row per partition
-    within = W.partitionBy("_part").orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
-    sums = [(F.col(f"_before_{k}") + F.coalesce(F.sum(c).over(within), F.lit(0))).cast("long").alias(k) for k, c in running.items()]
-    return joined.select(*df.columns, (F.col("_rows") + F.col("_id").bitwiseAND(F.lit(_SEQ))).alias(name), *sums)
+    offsets = spark.createDataFrame(rows, f"`{part}` long, `{rows_}` long" + "".join(f", `{part}_{k}` long" for k in running))
+    joined = placed.join(F.broadcast(offsets), part)  # a row per partition
+    within = W.partitionBy(part).orderBy(id_).rowsBetween(W.unboundedPreceding, -1)
+    sums = [(F.col(f"{part}_{k}") + F.coalesce(F.sum(c).over(within), F.lit(0))).cast("long").alias(k) for k, c in running.items()]
+    return joined.select(*df.columns, (F.col(rows_) + F.col(id_).bitwiseAND(F.lit(_SEQ))).alias(name), *sums)

@@ -6,6 +6,10 @@ distinct values, of which there are few, finds the first that passes int(n q).
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,10 +50,16 @@ def quality(df: DataFrame, *by: str, text: str = "text") -> DataFrame:
     blanks = rows.agg(F.count_if(F.col("blank")).alias("empty_documents"))
     if by:
         blanks = rows.groupBy(*by).agg(F.count_if(F.col("blank")).alias("empty_documents"))
-        joined = lengths.join(per, list(by)).join(blanks, list(by))
+        # every group has its row in blanks, a null group and one of blank texts alone as well
+        own = {c: uuid.uuid4().hex for c in by}
+        joined = blanks
+        for other in (lengths, per):
+            renamed = other.withColumnsRenamed(own)
+            joined = joined.join(renamed, reduce(and_, [F.col(c).eqNullSafe(F.col(n)) for c, n in own.items()]), "left").drop(*own.values())
+        joined = joined.fillna(0, ["n", "total", "duplicates"])
     else:
         joined = lengths.crossJoin(per).crossJoin(blanks)  # a row each
-    return joined.select(*by, F.col("n").alias("documents"), F.col("total").alias("characters"), F.col("avg").alias("avg_length"), F.col("min").alias("min_length"), F.col("max").alias("max_length"), F.col("median").alias("median_length"), *[F.col(p).alias(f"{p}_length") for p in QUANTILES], "empty_documents", "duplicates", (F.col("duplicates") / F.col("n")).alias("duplicate_rate"))
+    return joined.select(*by, F.col("n").alias("documents"), F.col("total").alias("characters"), F.col("avg").alias("avg_length"), F.col("min").alias("min_length"), F.col("max").alias("max_length"), F.col("median").alias("median_length"), *[F.col(p).alias(f"{p}_length") for p in QUANTILES], "empty_documents", "duplicates", F.try_divide("duplicates", "n").alias("duplicate_rate"))
 
 
 def tokens(df: DataFrame, count: str, *by: str) -> DataFrame:
