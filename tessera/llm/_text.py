@@ -9,22 +9,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_ROOT = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_ROOT, -1, 1 << 64)
+#: Primes and bases of the two sums of a byte range's hash. A prime modulus, unlike 2 ** 64, leaves no texts
+#: (such as Thue-Morse words) whose sums agree under every base.
+_PRIMES = ((2147483647, 1358979403), (2147483629, 982451653))
+#: Values below 2 ** 39 that a sum of 64 bits holds.
+_MOST = 1 << 24
 
 
-def _power(root: int, n: int) -> np.ndarray:
-    """root ** 0..n modulo 2 ** 64."""
+def _power(prime: int, root: int, n: int) -> np.ndarray:
+    """root ** 0..n modulo prime."""
     # kept by the interpreter, not by this module, whose contents travel with each function sent out
     kept = sys.__dict__.setdefault("_tessera_powers", {})
-    have = kept.get(root)
+    have = kept.get((prime, root))
     if have is None or len(have) <= n:
         size = max(1 << 16, 1 << int(n + 1).bit_length())
-        one = np.full(size, root, dtype=U)
-        one[0] = 1
-        have = np.multiply.accumulate(one)
+        have = np.ones(1, dtype=U)
+        while len(have) < size:
+            have = np.concatenate([have, have * U(pow(root, len(have), prime)) % U(prime)])
         if size <= 1 << 23:
-            kept[root] = have
+            kept[(prime, root)] = have
     return have
 
 
@@ -84,14 +87,24 @@ def owner(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, starts, side="right") - 1
 
 
+def _sums(data: np.ndarray, prime: int, root: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial of each byte range modulo prime, wherever the range stands."""
+    n = len(data)
+    powers, sums = _power(prime, root, n), np.zeros(n + 1, dtype=U)
+    for a in range(0, n, _MOST):
+        b = min(n, a + _MOST)
+        np.cumsum((data[a:b].astype(U) + U(1)) * powers[a:b], out=sums[a + 1 : b + 1])
+        if a:
+            sums[a + 1 : b + 1] += sums[a] % U(prime)
+    inverse = _power(prime, pow(root, -1, prime), n)
+    return (sums[ends] % U(prime) + U(prime) - sums[starts] % U(prime)) % U(prime) * inverse[starts] % U(prime)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
-    n = len(data)
+    one, two = (_sums(data, prime, root, starts, ends) for prime, root in _PRIMES)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, dtype=U)
-        np.cumsum((data.astype(U) + U(1)) * _power(_ROOT, n)[:n], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * _power(_INVERSE, n)[starts]
-        return mix(raw + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+        return mix((one << U(33)) ^ (two << U(2)) ^ (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def joined(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -161,8 +161,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, trees: i
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    valid = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < float('inf')) and exists(embedding, x -> x <> 0)"
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    valid = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)"
     rows = rows.withColumn("h1", F.when(F.expr(f"coalesce({valid}, false)"), F.xxhash64("embedding"))).withColumn("h2", F.hash("embedding"))
     distinct = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = materialise(distinct)
@@ -195,7 +196,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, trees: i
                     part = by.slice(a, 4096)
                     yield pa.RecordBatch.from_arrays([pa.array(leaf[a : a + 4096], pa.int64()), own.column(0).take(part), own.column(1).take(part), own.column(3).take(part), lists.take(part)], names=["leaf", "node", "copies", "embedding", "leaves"])
 
-    routed = nodes.select("node", "copies", "dims", "embedding").mapInArrow(route, "leaf long, node long, copies long, embedding array<float>, leaves array<long>")
+    routed = nodes.select("node", "copies", "dims", "embedding").mapInArrow(route, f"leaf long, node long, copies long, embedding {kind}, leaves array<long>")
     routed = materialise(routed)
     large = routed.groupBy("leaf").count().filter(F.col("count") > block).select("leaf", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     dealt = routed.join(large, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))

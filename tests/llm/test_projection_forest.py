@@ -60,3 +60,9 @@ def test_table(spark):
     rows = sorted((r["vec_id"], r["embedding"]) for r in table.collect())
     links, _ = brute(np.array([r[1] for r in rows], dtype=np.float32))
     assert sorted((r[0], r[1]) for r in pf.near_duplicates(table).collect()) == [(r[0], int(n)) for r, n in zip(rows, links)]
+
+
+def test_double_precision(spark):
+    rows = [(1, [1e300, 1e300]), (2, [2e300, 2e300]), (3, [1e-200, 0.0]), (4, [1e-200, 0.0]), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [-1.0, 0.5])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in pf.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 3, True), 4: (1, 3, False), **{i: (0, i, True) for i in (5, 6, 7, 8)}}
