@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,13 +108,14 @@ def with_status(df: DataFrame, *order: str, text: str = "text", config: Validati
     that they do not meet in one partition.
     """
     config = config or ValidationConfig()
-    first = df.withColumn("_first", text_status(F.col(text), config, None if kind is None else F.col(kind), None if keys is None else F.col(keys)))
+    fault, key = uuid.uuid4().hex, uuid.uuid4().hex  # names that no column of df has
+    first = df.withColumn(fault, text_status(F.col(text), config, None if kind is None else F.col(kind), None if keys is None else F.col(keys)))
     if not config.check_duplicates:
-        return first.withColumn("status", F.coalesce("_first", F.lit("valid"))).drop("_first")
+        return first.withColumn("status", F.coalesce(fault, F.lit("valid"))).drop(fault)
     faulty = F.concat_ws("-", F.lit("x"), *[F.col(c).cast("string") for c in order])
-    keyed = first.withColumn("_key", F.when(F.col("_first").isNull(), tx.dedup_key(F.col(text), config.dedup_normalization)).otherwise(faulty))
-    rank = F.row_number().over(W.partitionBy("_key").orderBy(*order))
-    return keyed.withColumn("status", F.coalesce("_first", F.when(rank > 1, "duplicates").otherwise("valid"))).drop("_first", "_key")
+    keyed = first.withColumn(key, F.when(F.col(fault).isNull(), tx.dedup_key(F.col(text), config.dedup_normalization)).otherwise(faulty))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return keyed.withColumn("status", F.coalesce(fault, F.when(rank > 1, "duplicates").otherwise("valid"))).drop(fault, key)
 
 
 def counts(statuses: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import clean, dedup, rowindex, stats
+from tessera.operators import clean, dedup, rowindex, stats, validate
 
-NAMES = ("_id", "_part", "_rows", "_key", "_rank", "made", "row", "now")
+NAMES = ("_id", "_part", "_rows", "_key", "_rank", "_first", "made", "row", "now")
 
 
 def table(spark, texts):
@@ -21,6 +21,8 @@ def test_columns_with_clashing_names(spark):
     df = table(spark, ["a", "b", "a", "  b ", None])
     indexed = rowindex.with_row_index(df, "i", running={"before": "i"}).collect()
     assert own(indexed) and sorted((r["i"], r["row_index"], r["before"]) for r in indexed) == [(0, 0, 0), (1, 1, 0), (2, 2, 1), (3, 3, 3), (4, 4, 6)]
+    judged = validate.with_status(df, "i").collect()
+    assert own(judged) and {r["i"]: r["status"] for r in judged}[2] == "duplicates"
     for found, ids in ((dedup.first_wins(df, "i"), {0, 1, 4}), (dedup.overlap(df, df.filter("i > 2")), {3}), (dedup.without(df.filter("i = 0"), df), {1, 3}), (clean.clean(df), {0, 1, 2, 3})):
         rows = found.collect()
         assert found.columns == df.columns and own(rows) and {r["i"] for r in rows} >= ids - {4}
