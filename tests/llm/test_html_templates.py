@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import html_templates as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T {i} &amp;</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body class="page">
@@ -69,3 +71,91 @@ def test_rows(spark):
     assert all(r["text"] == EXPECTED.format(i=r["page_id"]) for r in got if r["page_id"] < 900)
     assert sorted((r["page_id"], r["text"]) for r in got if r["page_id"] >= 900) == [(900, ""), (901, ""), (901, "b")]
     assert h.main_text(df.limit(0)).count() == 0
+
+
+def test_template_text_inside_an_article_goes_only_by_the_template(monkeypatch):
+    page = "<html><body><main><p>Own words number {i}</p><div><p>Subscribe to our list</p></div></main></body></html>"
+    group = [page.format(i=i) for i in range(6)]
+    assert [x for x, _ in h.extract(group)] == [f"Own words number {i}" for i in range(6)]
+    assert h.extract(group[:4])[0][0] == "Own words number 0 Subscribe to our list"
+    monkeypatch.setattr(h, "template", lambda pages: None)
+    assert h.extract(group)[0][0] == "Own words number 0 Subscribe to our list"
+
+
+def test_names_never_blank_an_article():
+    assert h.extract(['<body><article class="post alert"><p>Own text</p></article><div class="ad">buy</div></body>'])[0][0] == "Own text"
+    assert h.extract(['<body><div class="widget"><p>Only text</p></div><nav>menu</nav></body>'])[0][0] == "Only text"
+    assert h.extract(["<body><main><p>Text</p><article class=comment>reader says</article></main></body>"])[0][0] == "Text"
+
+
+def _brute_template(pages):
+    """The template by full vectors and pairwise orders, from the definition."""
+    pages = sorted({tuple(p) for p in pages})
+    vectors = {k: tuple(p.count(k) for p in pages) for p in pages for k in p if k}
+    support = {k: sum(map(bool, v)) for k, v in vectors.items()}
+    wanted = [k for k in vectors if support[k] >= max(2, -(-len(pages) // 4))]
+    classes = sorted({vectors[k] for k in wanted}, key=lambda v: (-sum(map(bool, v)), sum(v)))
+    taken = []
+    for v in classes:
+        keys = {k for k in wanted if vectors[k] == v}
+        lines = [[(i, k) for i, k in enumerate(p) if k in keys] for p in pages]
+        cuts = [[x[n : n + len(keys)] for n in range(0, len(x), len(keys))] for x in lines]
+        if len({tuple(k for _, k in c) for x in cuts for c in x}) != 1 or any({k for _, k in c} != keys for x in cuts for c in x):
+            continue
+        if any(sum(b < c[0][0] for b in single) != sum(b < c[-1][0] for b in single) for _, singles in taken for single, x in zip(singles, cuts, strict=True) for c in x):
+            continue
+        once = len(keys) > 1 and all(len(x) <= 1 for x in cuts)
+        taken.append((keys, [[i for i, _ in x] if once else [] for x in lines]))
+    return {k: support[k] for keys, _ in taken for k in keys}
+
+
+def test_template_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        skeleton = [rng.randrange(1, 7) for _ in range(rng.randrange(2, 9))]
+        pages = []
+        for _ in range(rng.randrange(3, 9)):
+            page = [k for k in skeleton if rng.random() < 0.9]
+            if rng.random() < 0.2:
+                rng.shuffle(page)
+            pages.append([*page, rng.randrange(100, 1000), 0])
+        vectors = [tuple(sorted(p)) for p in pages]
+        ties = len({tuple(p) for p in pages}) < 3
+        expected = None if ties else _brute_template(pages)
+        got = h.template(pages)
+        if expected is None:
+            assert got is None
+            continue
+        # classes of equal support and total have no set order between them: compare where none tie
+        distinct = sorted({tuple(p) for p in pages})
+        seen = {tuple(p.count(k) for p in distinct) for p in distinct for k in p if k}
+        if len({(sum(map(bool, v)), sum(v)) for v in seen if sum(map(bool, v)) >= 2}) == len([v for v in seen if sum(map(bool, v)) >= 2]):
+            assert got == expected, vectors
+
+
+def _site(n):
+    """Pages of one host without articles: fixed text, optional parts, copies."""
+    rng = random.Random(n)
+    out = []
+    for i in range(n):
+        part = "<div><p>Seasonal words of some pages</p></div>" if rng.random() < 0.4 else ""
+        out.append(f"<html><body><div><p>Menu item</p></div><div><p>Own text {i - i % 3}</p></div>{part}<p>Copyright line of us</p></body></html>")
+    return out
+
+
+def test_all_pages_of_a_host_make_one_template_in_spark_as_in_memory(spark):
+    hosts = {"a.example": _site(97), "b.example": _site(33), "c.example": _site(2), "d.example": [PAGE.format(i=i) for i in range(40)]}
+    rows = [(1000 * k + i, f"https://{host}/{i}", page) for k, (host, pages) in enumerate(hosts.items()) for i, page in enumerate(pages)]
+    expected = {1000 * k + i: text for k, pages in enumerate(hosts.values()) for i, (text, _) in enumerate(h.extract(pages))}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for entries in (h.BROADCAST_ENTRIES, 0):  # templates broadcast, and joined
+        assert {r["page_id"]: r["text"] for r in h.main_text(df, entries).collect()} == expected
+    assert all("Menu item" not in x and "Copyright" not in x for i, x in expected.items() if i < 2000)
+    assert "Menu item" in expected[2000]  # two pages are no template
+
+
+def test_query_reads_the_whole_table(spark, sf_dir):
+    got = h.query(spark, sf_dir).toPandas()
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").toPandas()
+    assert sorted(got["page_id"]) == sorted(pages["page_id"])
+    assert (got["n_chars"] == got["text"].str.len()).all() and (got["text"] != "").mean() > 0.9
