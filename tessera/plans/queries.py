@@ -143,7 +143,12 @@ def _(spark, sf_dir):
     return dedup.without(table(spark, sf_dir, "benchmark"), docs(spark, sf_dir)).select("doc_id")
 
 
-@query("split_disjoint", "SELECT 0::BIGINT AS n_shared")
+# first rows of each text, split by rank, then texts that both sides hold
+_FIRSTS = f"u AS (SELECT doc_id, {_KEY} AS k FROM documents QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) = 1)"
+_PARTS = "r AS (SELECT doc_id, k, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM u), s AS (SELECT k, i < n - 2 * greatest(1, floor(n * 0.1)) AS train FROM r)"
+
+
+@query("split_disjoint", f"WITH {_FIRSTS}, {_PARTS} SELECT count(*)::BIGINT AS n_shared FROM (SELECT k FROM s WHERE train INTERSECT SELECT k FROM s WHERE NOT train)")
 def _(spark, sf_dir):
     parts = split.by_hash(dedup.first_wins(docs(spark, sf_dir), "doc_id"), "doc_id").select("split", tx.dedup_key(F.col("text")).alias("k"))
     return parts.filter("split = 'train'").select("k").intersect(parts.filter("split <> 'train'").select("k")).agg(F.count("*").alias("n_shared"))
@@ -362,10 +367,10 @@ def _(spark, sf_dir):
     return generate.sums_table(spark)
 
 
-@query("distinct_union", "SELECT lang, source FROM documents WHERE doc_id % 2 = 0 UNION SELECT lang, source FROM documents WHERE doc_id % 3 = 0")
+@query("distinct_union", "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
 def _(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return generate.distinct_union(d.filter("doc_id % 2 = 0").select("lang", "source"), d.filter("doc_id % 3 = 0").select("lang", "source"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))
+    return generate.distinct_union(customers, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey")))
 
 
 @query("oversample", "SELECT doc_id, epoch FROM documents, range(0, 20) r(epoch)")
@@ -449,9 +454,9 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(sm.lr_multiplier(F.col("o_orderkey") % 600), 6).alias("lr"))
 
 
-@query("perplexity", "SELECT event_id, round(CASE WHEN value < 20 THEN exp(value) ELSE 'inf'::DOUBLE END, 4) AS perplexity FROM events WHERE value >= 0")
+@query("perplexity", "SELECT event_id, round(CASE WHEN value < 20 THEN exp(value) ELSE 'inf'::DOUBLE END, 4) AS perplexity FROM events")
 def _(spark, sf_dir):
-    return events(spark, sf_dir).filter("value >= 0").select("event_id", F.round(sm.perplexity(F.col("value"), 20.0), 4).alias("perplexity"))
+    return events(spark, sf_dir).select("event_id", F.round(sm.perplexity(F.col("value"), 20.0), 4).alias("perplexity"))
 
 
 # arrays: an embedding is a list of logits --------------------------------------------------------
@@ -476,7 +481,12 @@ def _(spark, sf_dir):
     return logits(spark, sf_dir).select("vec_id", F.size(kept).cast("long").alias("n_kept"), F.round(F.array_min(kept), 6).alias("bound"))
 
 
-@query("top_p")
+_TOP_P = """, p AS (SELECT vec_id, list_reverse_sort(list_transform(x, lambda v: exp(v - list_max(x)))) AS e, len(x) AS n FROM e),
+q AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS y, n FROM p)
+SELECT vec_id, greatest(1, len(list_filter(range(1, n + 1), lambda k: list_sum(y[1:k]) <= 0.5)))::BIGINT AS n_kept FROM q"""
+
+
+@query("top_p", _X + _TOP_P)
 def _(spark, sf_dir):
     return logits(spark, sf_dir).select("vec_id", F.size(F.filter(sm.top_p(F.col("x"), 0.5), lambda v: v > sm.NEG_INF)).cast("long").alias("n_kept"))
 
