@@ -61,10 +61,11 @@ def id_and_text(documents: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id, hash of the text (version) and, if kept has it, lang are in kept; nulls are equal."""
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_version"))
-    named = kept.withColumnsRenamed({"doc_id": "_id", "version": "_version", "lang": "_lang"})
+    key, version, lang = (uuid.uuid4().hex for _ in range(3))  # no column of docs has such a name
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(version))
+    named = kept.withColumnsRenamed({"doc_id": key, "version": version, "lang": lang})
     if "lang" in kept.columns:
-        same &= F.col("lang").cast("string").eqNullSafe(F.col("_lang"))
+        same &= F.col("lang").cast("string").eqNullSafe(F.col(lang))
     return docs.join(named, same, "left_semi")
 
 

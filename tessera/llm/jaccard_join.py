@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -322,8 +323,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     firsts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version")).groupBy("version").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
     least = firsts.join(of_text.filter("n_shingles > 0"), "version").groupBy("root").agg(F.min(F.struct("first", "version")).alias("kept"))
     kept = least.select(F.col("kept.first.doc_id").alias("doc_id"), F.col("kept.version").alias("version"))
-    worded = rows_of(docs, kept).withColumn("_v", version).dropDuplicates(["doc_id", "_v"]).drop("_v")
-    blank = of_text.filter("n_shingles = 0").select(F.col("version").alias("_version"))
+    own = uuid.uuid4().hex  # no column of docs has such a name
+    worded = rows_of(docs, kept).withColumn(own, version).dropDuplicates(["doc_id", own]).drop(own)
+    blank = of_text.filter("n_shingles = 0").select(F.col("version").alias(own))
     if blank.count() <= 1 << 18:
         blank = F.broadcast(blank)
-    return worded.unionByName(docs.join(blank, version == F.col("_version"), "left_semi"))
+    return worded.unionByName(docs.join(blank, version == F.col(own), "left_semi"))
