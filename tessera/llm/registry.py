@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, html_templates, jaccard_join, kneser_ney, license_scan, line_dedup, packing, ppm, projection_forest, quality_rules
+from tessera.llm import byte_bpe, filter_audit, html_templates, jaccard_join, kneser_ney, license_scan, line_dedup, packing, ppm, projection_forest, quality_rules
 
 QUERIES = {
     "op1_html_templates": html_templates.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_license_scan": license_scan.query,
     "op10_packing": packing.query,
+    "op11_filter_audit": filter_audit.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle()}
+ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle(), "op11_filter_audit": filter_audit.oracle()}
