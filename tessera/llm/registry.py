@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, filter_audit, hard_negatives, html_templates, jaccard_join, kneser_ney, license_scan, line_dedup, packing, ppm, projection_forest, quality_rules
+from tessera.llm import best_fit, byte_bpe, filter_audit, hard_negatives, html_templates, jaccard_join, kneser_ney, license_scan, line_dedup, packing, ppm, projection_forest, quality_rules
 
 QUERIES = {
     "op1_html_templates": html_templates.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.query,
     "op11_filter_audit": filter_audit.query,
     "op12_hard_negatives": hard_negatives.query,
+    "op13_best_fit": best_fit.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_license_scan": license_scan.oracle(), "op11_filter_audit": filter_audit.oracle(), "op12_hard_negatives": hard_negatives.oracle()}
