@@ -7,7 +7,7 @@ tree over the room left in each sequence finds it in logarithmic time.
 
 Defined results: a null or empty text is the end id alone; rows that repeat a doc_id are packed each
 for itself; an empty table gives no pieces; extra columns are ignored. Ties in length go by
-(doc_id, start). Texts are tokenized whole: the tokenizer drops white space, so the words between
+(doc_id, start), null ids last. Texts are tokenized whole: the tokenizer drops white space, so the words between
 ASCII white space are encoded once per worker and memo, and their ids put together.
 """
 
@@ -19,7 +19,6 @@ from collections import defaultdict
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,14 +169,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE,
     dealt = cut.withColumn("_row", F.monotonically_increasing_id()).withColumn("_group", F.expr(f"pmod(xxhash64(doc_id, start, _row, {int(seed)}L), {groups}L)")).drop("_row")
     names = cut.columns
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["start"].to_numpy(), pdf["doc_id"].to_numpy(), -pdf["length"].to_numpy()))
-        pdf = pdf.iloc[order]
-        bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
-        return pdf[names].assign(sequence_id=(int(pdf["_group"].iloc[0]) << 32) + bins, offset=offsets)
+    def run(group: pa.Table) -> pa.Table:  # Arrow from end to end: a null beside them leaves large ids as they are
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
+        base = group["_group"][0].as_py() << 32
+        return group.select(names).append_column("sequence_id", pa.array(base + bins)).append_column("offset", pa.array(offsets))
 
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
-    return dealt.groupBy("_group").applyInPandas(run, schema)
+    return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
 def _default_tokenizer() -> str:

@@ -75,3 +75,10 @@ def test_groups_and_empty_table(spark, sf_dir):
     n = check(got, {r["doc_id"]: r["text"] for r in docs.collect()})
     assert n * 2048 < 1.35 * sum(r["length"] for r in got)
     assert packing.pack_documents(cases.empty(spark)).count() == 0
+
+
+def test_large_ids_beside_a_null(spark):
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**62) - 1, None]
+    got = packing.pack_documents(spark.createDataFrame([(i, "one two three") for i in ids], "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == sorted(i or 0 for i in ids)
+    assert sorted(r["offset"] for r in got) == [k * got[0]["length"] for k in range(5)]
