@@ -13,6 +13,7 @@ ASCII white space are encoded once per worker and memo, and their ids put togeth
 
 from __future__ import annotations
 
+import os
 import sys
 import zlib
 from collections import defaultdict
@@ -63,6 +64,7 @@ class WordIds:
     """Ids of whole texts by way of a bounded memo of words; the memo starts anew when full."""
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library would spin on the others
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
