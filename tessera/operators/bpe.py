@@ -152,16 +152,25 @@ class Tokenizer:
         return self.vocab[i] if 0 <= i < len(self.vocab) else "<unk>"
 
     @classmethod
-    def train(cls, df: DataFrame, vocab_size: int = 4096, text: str = "text") -> tuple[Tokenizer, dict]:
-        """The tokenizer and what it was trained on. The distinct words come to the driver; merging is sequential."""
+    def train(cls, df: DataFrame, vocab_size: int = 4096, text: str = "text", driver_words: int = 1 << 17) -> tuple[Tokenizer, dict]:
+        """The tokenizer and what it was trained on. Up to driver_words distinct words are merged on the driver,
+        beyond that in Spark (bpe_training), which takes more time a merge and gives the same merges."""
+        from tessera.operators import bpe_training
+        from tessera.sources.shared import materialise
+
         if vocab_size < 260:
             raise ValueError("vocab_size must be at least 260: 4 special tokens and 256 bytes")
         n_merges = vocab_size - 260
         if not n_merges:
             return cls([]), {"vocab_size": 260, "n_merges": 0}
-        words = {r["word"]: r["freq"] for r in word_counts(df, text).toLocalIterator()}
-        made = cls(learn(words, n_merges))
-        return made, {"vocab_size": len(made), "n_merges": len(made.merges), "n_unique_words": len(words), "version": VERSION}
+        words = materialise(word_counts(df, text))
+        n = words.count()
+        if n <= driver_words:
+            merges = learn({r["word"]: r["freq"] for r in words.collect()}, n_merges)
+        else:
+            merges = [(left, right) for left, right, _ in bpe_training.train(words, n_merges)]
+        made = cls(merges)
+        return made, {"vocab_size": len(made), "n_merges": len(made.merges), "n_unique_words": n, "version": VERSION}
 
     def _word_ids(self, word: str) -> tuple[int, ...]:
         symbols = [MARK, *(BYTES[b] for b in word.encode("utf-8"))]

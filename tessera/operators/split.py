@@ -5,12 +5,14 @@ from __future__ import annotations
 import mmap
 import random
 import tempfile
+import uuid
 from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import permute
 from tessera.operators.rowindex import with_row_index
 from tessera.sources.shared import materialise, shared_folder
 
@@ -59,16 +61,28 @@ def seeded(df: DataFrame, *order: str, validation_ratio: float = 0.1, test_ratio
     The permutation depends on n and the seed alone. It is sequential, so the driver makes it, in a mapped
     file of 8 bytes a row; Spark gets it in blocks, as a table that is joined.
     """
-    indexed = materialise(with_row_index(df, *order, name="_index"))
+    index = uuid.uuid4().hex  # a name that no column of df has
+    indexed = materialise(with_row_index(df, *order, name=index))
     n = indexed.count()
     sizes(n, validation_ratio, test_ratio)
-    return _named(indexed.join(_permutation(df.sparkSession, n, seed), "_index").drop("_index"), "split_rank", n, validation_ratio, test_ratio)
+    places = _permutation(df.sparkSession, n, seed).withColumnRenamed("_index", index)
+    return _named(indexed.join(places, index).drop(index), "split_rank", n, validation_ratio, test_ratio)
+
+
+def keyed(df: DataFrame, *order: str, validation_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
+    """df with split and split_rank, a keyed permutation of the ordered rows: exact sizes, nothing through the driver."""
+    index = uuid.uuid4().hex
+    n = df.count()
+    sizes(n, validation_ratio, test_ratio)
+    ranked = with_row_index(df, *order, name=index).withColumn("split_rank", permute.position(F.col(index), n, seed)).drop(index)
+    return _named(ranked, "split_rank", n, validation_ratio, test_ratio)
 
 
 def by_hash(df: DataFrame, key: str, validation_ratio: float = 0.1, test_ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """df with split and split_rank: rows ranked by SHA-256 of seed and key; exact sizes, no driver list."""
-    hashed = df.withColumn("_hash", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
-    ranked = with_row_index(hashed, "_hash", key, name="split_rank").drop("_hash")
+    hashed_ = uuid.uuid4().hex  # a name that no column of df has
+    hashed = df.withColumn(hashed_, F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    ranked = with_row_index(hashed, hashed_, key, name="split_rank").drop(hashed_)
     return _named(ranked, "split_rank", df.count(), validation_ratio, test_ratio)
 
 
