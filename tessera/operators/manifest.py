@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field, fields
 from datetime import UTC, datetime
 
 from tessera import __version__
+from tessera.sources import merkle, shard_source
 from tessera.sources.shared import save_json
 
 
@@ -52,6 +53,7 @@ class Manifest:
     created_at: str = ""
     engine_version: str = __version__
     tokenizer_hash: str = ""  # of the vocabulary, which a version does not tell apart
+    content_root: str = ""  # over what the shards hold and the tokenizer's hash; not part of the identity
 
     def identity(self) -> str:
         parts = (self.name, self.version, self.source_hash, self.processing_hash, self.tokenizer_version, self.n_records, self.n_tokens, self.context_length)
@@ -73,10 +75,27 @@ class Manifest:
         found.identity()
         return found
 
+    def seal(self, folder: str) -> Manifest:
+        """Takes the root over the listings of the shards in folder."""
+        self.content_root = merkle.root(shard_source.leaves(shard_source.parts(folder, self.shard_files)), self.tokenizer_hash)
+        return self
+
     def verify(self, folder: str) -> bool:
-        """Whether folder holds a manifest of this identity and all its shards."""
+        """Whether folder holds a manifest of this identity and all its shards, in size and listing what they were.
+
+        No shard is read; changed() reads them.
+        """
         path = os.path.join(folder, "manifest.json")
-        return os.path.exists(path) and all(os.path.exists(os.path.join(folder, x)) for x in self.shard_files) and Manifest.load(path).identity() == self.identity()
+        if not os.path.exists(path) or Manifest.load(path).identity() != self.identity():
+            return False
+        held = {x["name"]: x["size"] for x in shard_source.parts(folder, self.shard_files)}
+        there = all(os.path.isfile(p := os.path.join(folder, x)) and held.get(x, os.path.getsize(p)) == os.path.getsize(p) for x in self.shard_files)
+        return there and (not self.content_root or Manifest(shard_files=self.shard_files, tokenizer_hash=self.tokenizer_hash).seal(folder).content_root == self.content_root)
+
+    def changed(self, spark, folder: str) -> list[str]:
+        """The shards whose contents are not those listed, read in the executors."""
+        own = dict.fromkeys(os.path.dirname(x) for x in self.shard_files)
+        return [os.path.join(part, x) for part in own for x in shard_source.changed(spark, os.path.join(folder, part))]
 
 
 def create(**given) -> Manifest:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import bpe, bpe_training, permute, split
-from tessera.plans.queries import _WORDS, docs, query
+from tessera.plans.queries import _WORDS, _fold, docs, query, table
+from tessera.sources import jsonl, shard_source, shards
+from tessera.sources.shared import shared_folder
 
 # BPE merges learned step by step -----------------------------------------------------------------
 
@@ -86,3 +93,57 @@ def _(spark, sf_dir):
 @query("split_keyed", _permuted(42, 1) + ", q AS (SELECT *, greatest(1, floor(n * 0.1))::BIGINT AS v FROM p) SELECT doc_id, x AS split_rank, CASE WHEN x < n - 2 * v THEN 'train' WHEN x < n - v THEN 'val' ELSE 'test' END AS split FROM q")
 def _(spark, sf_dir):
     return split.keyed(docs(spark, sf_dir).select("doc_id"), "doc_id").select("doc_id", "split_rank", "split")
+
+
+# sources and sinks -------------------------------------------------------------------------------
+
+
+@query(
+    "shard_roundtrip",
+    """WITH r AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents),
+w AS (SELECT k, text, """
+    + _WORDS
+    + """ AS w FROM r),
+i AS (SELECT k, text, list_concat(coalesce(flatten(list_transform(w, lambda x: list_prepend(36, list_transform(range(0, strlen(x)), lambda j: ('0x' || substr(hex(encode(x)), 2 * j + 1, 2))::INT + 4)))), []), [2]) AS ids FROM w)
+SELECT printf('shard-%05d.jsonl', k // 100) AS shard, k % 100 AS line, len(ids)::BIGINT AS n, md5(array_to_string(ids, ' ')) AS ids_hash, substr(text, 1, 50) AS text_preview FROM i""",
+)
+def _(spark, sf_dir):
+    """documents written as shards by the data source, and what reading the folder gives."""
+    rows = docs(spark, sf_dir).select("doc_id", tx.byte_token_ids(F.col("text"), True).alias("input_ids"), tx.preview(F.col("text")).alias("text_preview"))
+    folder = shard_source.mounted(shared_folder(spark))
+    shards.write(shards.assign(rows, "doc_id", shard_size=100), folder)
+    return shards.read(spark, folder).select("shard", "line", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", " ")).alias("ids_hash"), "text_preview")
+
+
+@query("shard_listing", """WITH r AS (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents)
+SELECT printf('shard-%05d.jsonl', k // 64) AS name, count(*) AS records, sum(1 + len(w) + list_sum(list_transform(w, lambda x: strlen(x))))::BIGINT AS tokens
+FROM (SELECT k, """ + _WORDS + " AS w FROM r) GROUP BY ALL")
+def _(spark, sf_dir):
+    """The listing of the shards of documents, whose contents are as listed."""
+    rows = docs(spark, sf_dir).select("doc_id", tx.byte_token_ids(F.col("text"), True).alias("input_ids"), F.lit("").alias("text_preview"))
+    folder = shard_source.mounted(shared_folder(spark))
+    shards.write(shards.assign(rows, "doc_id", shard_size=64), folder)
+    odd = shard_source.changed(spark, folder)
+    listed = [(x["name"], x["records"], x["tokens"]) for x in shard_source.listing(folder) if x["name"] not in odd]
+    return spark.createDataFrame(listed, "name string, records long, tokens long")
+
+
+@query("jsonl_roundtrip", f"SELECT doc_id, lang, md5(text) AS text_hash FROM documents WHERE {_fold('text')} <> ''")
+def _(spark, sf_dir):
+    """documents written as JSON lines, and the valid records that loading them gives."""
+    folder = shared_folder(spark)
+    jsonl.write(docs(spark, sf_dir).select("doc_id", "lang", "text"), folder)
+    files = [folder.rstrip("/") + "/" + x for x in sorted(os.listdir(shard_source.mounted(folder))) if x.endswith(".txt")]
+    loaded = jsonl.load(spark, files)
+    return loaded.select(F.get_json_object("raw", "$.doc_id").cast("long").alias("doc_id"), F.get_json_object("raw", "$.lang").alias("lang"), F.md5("text").alias("text_hash"))
+
+
+@query("jsonl_kinds", "SELECT 'text' AS kind, count(*) AS n, count(*) FILTER (WHERE text IS NOT NULL) AS texts FROM documents UNION ALL SELECT 'not_text', count(*), 0 FROM labels UNION ALL SELECT 'malformed', count(*), 0 FROM benchmark UNION ALL SELECT 'blank', count(*), 0 FROM pages")
+def _(spark, sf_dir):
+    """Lines of four kinds, made of four tables, as the strict parser takes them."""
+    folder = shared_folder(spark)
+    line = lambda t, c: table(spark, sf_dir, t).select(c.alias("value"))
+    made = [line("documents", F.to_json(F.struct("text"))), line("labels", F.to_json(F.struct("doc_id"))), line("benchmark", F.concat(F.to_json(F.struct("text")), F.lit(" x"))), line("pages", F.repeat(F.lit(" "), 3))]
+    reduce(DataFrame.unionByName, made).write.text(folder)
+    lines = spark.read.text(folder).select(F.col("value").alias("raw"))
+    return jsonl.parse(lines).groupBy("kind").agg(F.count("*").alias("n"), F.count("text").alias("texts"))

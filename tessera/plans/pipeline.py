@@ -94,7 +94,7 @@ def run(spark: SparkSession, config: PipelineConfig) -> PipelineResult:
         names += [f"{part}/{x}" for x in shards.write(own, os.path.join(config.output_dir, part))]
         n_tokens += int(own.agg(F.coalesce(F.sum(F.size("input_ids")), F.lit(0))).first()[0])
     made = manifest.create(name=config.name, version=config.version, source_files=files, processing_config=config.hashed(), tokenizer_path=config.tokenizer_path, tokenizer_version=tokenizer.VERSION, tokenizer_hash=manifest.hash_config({"merges": tokenizer.merges}), n_records=n_unique, n_tokens=n_tokens, n_train_records=n_train, n_val_records=n_val, shard_files=names, seed=config.seed, context_length=config.context_length)
-    made.save(os.path.join(config.output_dir, "manifest.json"))
+    made.seal(config.output_dir).save(os.path.join(config.output_dir, "manifest.json"))
     return PipelineResult(report.records_scanned, report.valid, n_clean, n_unique, n_train, n_val, n_tokens, len(names), config.output_dir, made)
 
 
@@ -122,5 +122,7 @@ def preflight(dataset_dir: str, tokenizer_path: str, max_context_length: int, vo
         raise ConfigError("the dataset's context length is not the model's", "context_length", f"{made.context_length} and {max_context_length}", "build the dataset anew or change the model")
     if tokenizer.VERSION != made.tokenizer_version:
         raise ConfigError("the dataset was made with another tokenizer version", "tokenizer_version", f"{tokenizer.VERSION} and {made.tokenizer_version}", "tokenize the dataset anew")
+    if made.tokenizer_hash and manifest.hash_config({"merges": tokenizer.merges}) != made.tokenizer_hash:
+        raise ConfigError("the dataset was made with another vocabulary", "tokenizer_path", tokenizer_path, "tokenize the dataset anew")
     if tokenizer.vocab_size() != vocab_size:
         raise ConfigError("the tokenizer's vocabulary is not the model's", "vocab_size", f"{tokenizer.vocab_size()} and {vocab_size}", "train the tokenizer anew or change the model")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,15 +31,26 @@ def read_lines(spark: SparkSession, paths: str | list[str], missing: str = "rais
 
     missing: "raise", or "skip" for files that are not there.
     """
-    lines = None
-    for ordinal, path in enumerate(expand(paths)):
-        if "://" not in path and not os.path.isfile(path):
-            if missing == "raise":
-                raise FileNotFoundError(path)
-            continue
-        one = spark.read.text(path).select(F.col("value").alias("raw"), F.lit(ordinal).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
-        lines = one if lines is None else lines.unionByName(one)
-    return lines if lines is not None else spark.createDataFrame([], "raw string, file int, block long, seq long")
+    files = expand(paths)
+    there = [(k, p) for k, p in enumerate(files) if "://" in p or os.path.isfile(p)]
+    if missing == "raise" and len(there) < len(files):
+        raise FileNotFoundError(next(p for p in files if "://" not in p and not os.path.isfile(p)))
+    if not there:
+        return spark.createDataFrame([], "raw string, file int, block long, seq long")
+    # one scan of all files; which of them a line is from is joined, a row for each path given
+    found = [(_qualified(spark, p), k) for k, p in there]
+    ordinals = F.broadcast(spark.createDataFrame(found, "path string, file int"))
+    text = spark.read.text(list(dict.fromkeys(p for _, p in there)))
+    lines = text.select(F.col("value").alias("raw"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
+    return lines.join(ordinals, "path").select("raw", "file", "block", "seq")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark names the file, local ones with one slash."""
+    jvm = spark._jvm
+    made = jvm.org.apache.hadoop.fs.Path(path)
+    system = made.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return re.sub("^file:/+", "file:/", jvm.org.apache.spark.paths.SparkPath.fromPath(system.makeQualified(made)).urlEncoded())
 
 
 def parse(lines: DataFrame, text_field: str = "text") -> DataFrame:

@@ -2,72 +2,47 @@
 
 from __future__ import annotations
 
-import json
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import pack
 from tessera.operators.rowindex import with_row_index
-
-SCHEMA = "input_ids array<int>, text_preview string"
+from tessera.sources import shard_source
 
 
 def assign(df: DataFrame, *order: str, shard_size: int = 10_000) -> DataFrame:
     """df with shard and its row's place in it."""
-    rows = with_row_index(df, *order, name="_index")
-    return rows.withColumn("shard", F.floor(F.col("_index") / shard_size).cast("long")).withColumn("place", (F.col("_index") % shard_size).cast("long")).drop("_index")
+    index = uuid.uuid4().hex  # a name that no column of df has
+    rows = with_row_index(df, *order, name=index)
+    return rows.withColumn("shard", F.expr(f"`{index}` div {shard_size}")).withColumn("place", (F.col(index) % shard_size).cast("long")).drop(index)
 
 
 def stats(sharded: DataFrame, ids: str = "input_ids") -> DataFrame:
     return sharded.groupBy("shard").agg(F.count("*").alias("n_records"), F.sum(F.size(ids)).cast("long").alias("n_tokens"))
 
 
-def write(sharded: DataFrame, folder: str, prefix: str = "shard") -> list[str]:
-    """Each shard as folder/prefix-00000.jsonl; a task holds one row at a time. Names, in order.
+def write(sharded: DataFrame, folder: str, prefix: str = "shard", mode: str = "overwrite") -> list[str]:
+    """Each shard as folder/prefix-00000.jsonl by way of the data source; a task holds one row at a time. Names, in order.
 
-    folder must be one that executors and driver share. A file appears under its name when it is whole,
-    so a task that runs again changes nothing.
+    folder must be one that executors and driver share. Files appear under their names once the whole job is done,
+    with a listing of their contents. mode "append" keeps the shards there are.
     """
-    os.makedirs(folder, exist_ok=True)
-    partitions = int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sharded.select("shard", "place", F.to_json(F.struct("input_ids", "text_preview")).alias("line")).repartition(partitions, "shard").sortWithinPartitions("shard", "place")
-
-    def run(batches):
-        import pyarrow as pa
-
-        shard, file, names = None, None, []
-
-        def finish():
-            if file is not None:
-                file.close()
-                os.replace(file.name, file.name.rsplit(".", 1)[0])
-                names.append(os.path.basename(file.name).rsplit(".", 1)[0])
-
-        for batch in batches:
-            for at, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if at != shard:
-                    finish()
-                    shard, file = at, open(f"{folder}/{prefix}-{at:05d}.jsonl.{os.getpid()}", "w", encoding="utf-8")
-                file.write(line + "\n")
-        finish()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
-
-    return sorted(r["name"] for r in rows.mapInArrow(run, "name string").collect())
+    spark = sharded.sparkSession
+    shard_source.register(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sharded.select("shard", "place", "input_ids", "text_preview").repartition(partitions, "shard").sortWithinPartitions("shard", "place")
+    before = set() if mode == "overwrite" else {x["name"] for x in shard_source.listing(folder)}
+    rows.write.format("shards").option("prefix", prefix).mode(mode).save(folder)
+    return sorted(x["name"] for x in shard_source.listing(folder) if x["name"] not in before)
 
 
 def read(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
-    """Rows of the shards that the manifest (or names, or shard-*.jsonl) lists; missing ones are passed over."""
-    manifest = os.path.join(folder, "manifest.json")
-    if names is None and os.path.exists(manifest):
-        with open(manifest, encoding="utf-8") as file:
-            names = json.load(file).get("shard_files") or None
-    names = names or sorted(x for x in os.listdir(folder) if x.startswith("shard-") and x.endswith(".jsonl"))
-    there = [os.path.join(folder, x) for x in names if os.path.exists(os.path.join(folder, x))]
-    if not there:
-        return spark.createDataFrame([], SCHEMA + ", shard string")
-    return spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").json(there).withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    """Rows of the shards that the listing, the manifest or shard-*.jsonl names, or of those in names; missing ones are passed over."""
+    shard_source.register(spark)
+    rows = spark.read.format("shards").load(folder)
+    return rows if names is None else rows.filter(F.col("shard").isin(names))
 
 
 def examples(shards: DataFrame, context_length: int = 256, pad_id: int = pack.EOS) -> DataFrame:
