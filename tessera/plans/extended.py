@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import bpe, bpe_training, permute, split
+from tessera.operators import bpe, bpe_training, near_dup, permute, split
 from tessera.plans.queries import _WORDS, _fold, docs, query, table
 from tessera.sources import jsonl, shard_source, shards
 from tessera.sources.shared import shared_folder
@@ -147,3 +147,21 @@ def _(spark, sf_dir):
     reduce(DataFrame.unionByName, made).write.text(folder)
     lines = spark.read.text(folder).select(F.col("value").alias("raw"))
     return jsonl.parse(lines).groupBy("kind").agg(F.count("*").alias("n"), F.count("text").alias("texts"))
+
+
+# near duplicates ---------------------------------------------------------------------------------
+
+
+@query(
+    "near_duplicates",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+x AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n, count(*) AS k FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c WHERE k >= 0.8 * (n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, cluster, coalesce(len(s), 0)::BIGINT AS n_shingles FROM (SELECT a AS doc_id, min(b) AS cluster FROM r GROUP BY a) LEFT JOIN s USING (doc_id)""",
+)
+def _(spark, sf_dir):
+    """Clusters by MinHash; the SQL finds them among all pairs."""
+    return near_dup.clusters(docs(spark, sf_dir), "doc_id")
