@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import bloom
+from tessera.sources.shared import materialise
 
 
 @dataclass
@@ -52,16 +54,36 @@ def read_report(df: DataFrame, text: str = "text", normalization: str = "whitesp
     return DedupReport(**report(df, text, normalization).first().asDict(), normalization=normalization)
 
 
-def overlap(a: DataFrame, b: DataFrame, text: str = "text", normalization: str = "whitespace") -> DataFrame:
-    """The rows of b, repeats included, whose text a holds too."""
+def _sides(a: DataFrame, b: DataFrame, text: str, normalization: str, false_hits: float | None) -> tuple[DataFrame, DataFrame, str, Column | None]:
+    """Keys of a, b with its key, the key's name, and, if asked for, whether a may hold a row's key."""
     key = uuid.uuid4().hex
-    return with_key(b, text, normalization, key).join(with_key(a, text, normalization, key).select(key).distinct(), key, "left_semi").drop(key)
-
-
-def without(a: DataFrame, b: DataFrame, text: str = "text", normalization: str = "whitespace") -> DataFrame:
-    """The rows of b whose text a does not hold."""
-    key = uuid.uuid4().hex
-    return with_key(b, text, normalization, key).join(with_key(a, text, normalization, key).select(key).distinct(), key, "left_anti").drop(key)
+    keys = with_key(a, text, normalization, key).select(key).distinct()
+    keyed = with_key(b, text, normalization, key)
+    if false_hits is None:
+        return keys, keyed, key, None
+    keys = materialise(keys.filter(F.col(key).isNotNull()))
+    made = bloom.build(keys.select(F.xxhash64(key).alias("h")), false_hits)
+    return keys, keyed, key, None if made is None else bloom.may_hold(made, F.when(F.col(key).isNotNull(), F.xxhash64(key)), a.sparkSession)
+
+
+def overlap(a: DataFrame, b: DataFrame, text: str = "text", normalization: str = "whitespace", false_hits: float | None = None) -> DataFrame:
+    """The rows of b, repeats included, whose text a holds too.
+
+    false_hits: for an a much smaller than b. A Bloom filter over a's keys, with this share of false hits, goes before the
+    join, so that of b only what passes is shuffled.
+    """
+    keys, keyed, key, may = _sides(a, b, text, normalization, false_hits)
+    rows = keyed if may is None else keyed.filter(may)
+    return rows.join(keys, key, "left_semi").select(*[F.col(f"`{c}`") for c in b.columns])
+
+
+def without(a: DataFrame, b: DataFrame, text: str = "text", normalization: str = "whitespace", false_hits: float | None = None) -> DataFrame:
+    """The rows of b whose text a does not hold; false_hits as in overlap(): rows that do not pass stay where they are."""
+    keys, keyed, key, may = _sides(a, b, text, normalization, false_hits)
+    own = [F.col(f"`{c}`") for c in b.columns]
+    if may is None:
+        return keyed.join(keys, key, "left_anti").select(*own)
+    return keyed.filter(~may).select(*own).unionByName(keyed.filter(may).join(keys, key, "left_anti").select(*own))
 
 
 def near_duplicate_clusters(df: DataFrame, threshold: float = 0.8, num_perm: int = 128) -> DataFrame:

@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import tables
 from tessera.functions import text as tx
-from tessera.operators import bpe, bpe_training, near_dup, permute, split
-from tessera.plans.queries import _WORDS, _fold, docs, query, table
+from tessera.functions.patterns import Patterns
+from tessera.operators import bpe, bpe_training, dedup, near_dup, permute, split
+from tessera.plans.queries import _KEY, _WORDS, ORACLE_SQL, _fold, docs, query, table
 from tessera.sources import jsonl, shard_source, shards
 from tessera.sources.shared import shared_folder
 
@@ -165,3 +167,67 @@ SELECT doc_id, cluster, coalesce(len(s), 0)::BIGINT AS n_shingles FROM (SELECT a
 def _(spark, sf_dir):
     """Clusters by MinHash; the SQL finds them among all pairs."""
     return near_dup.clusters(docs(spark, sf_dir), "doc_id")
+
+
+# overlap of unequal sides, many patterns, table functions ------------------------------------------
+
+
+def _by_source(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.filter("source = 'src0'"), d.filter("source <> 'src0'")
+
+
+@query("overlap_prefiltered", f"SELECT doc_id FROM documents WHERE source <> 'src0' AND {_KEY} IN (SELECT {_KEY} FROM documents WHERE source = 'src0')")
+def _(spark, sf_dir):
+    a, b = _by_source(spark, sf_dir)
+    return dedup.overlap(a, b, false_hits=0.01).select("doc_id")
+
+
+@query("without_prefiltered", f"SELECT doc_id FROM documents WHERE source <> 'src0' AND {_KEY} NOT IN (SELECT {_KEY} FROM documents WHERE source = 'src0')")
+def _(spark, sf_dir):
+    a, b = _by_source(spark, sf_dir)
+    return dedup.without(a, b, false_hits=0.01).select("doc_id")
+
+
+_TURN_WORDS = "SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS p FROM conversations"
+
+
+@query("pattern_hits", f"WITH p AS (SELECT p FROM ({_TURN_WORDS}) WHERE length(p) > 6) SELECT doc_id, count(p) AS n_patterns, coalesce(min(p), '') AS least FROM documents LEFT JOIN p ON contains(lower(text), p) GROUP BY doc_id")
+def _(spark, sf_dir):
+    """Every word of the conversations, of seven letters or more, looked for in every document in one pass."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), " ")).alias("p")).filter("length(p) > 6").distinct()
+    listed = sorted(r["p"] for r in words.collect())  # a vocabulary, which is the automaton's
+    hits = docs(spark, sf_dir).select("doc_id", Patterns(spark, listed).found(F.lower("text")).alias("k"))
+    names = spark.createDataFrame(list(enumerate(listed)), "first int, least string")
+    return hits.select("doc_id", F.size("k").cast("long").alias("n_patterns"), F.get("k", F.lit(0)).alias("first")).join(F.broadcast(names), "first", "left").select("doc_id", "n_patterns", F.coalesce("least", F.lit("")).alias("least"))
+
+
+_STOPS = [". ", "? ", "! ", "\n", "ing "]
+_AT = "list_min(list_filter([" + ", ".join(f"strpos(text, {chr(39)}{s}{chr(39)})" if s != "\n" else "strpos(text, chr(10))" for s in _STOPS) + "], lambda x: x > 0))"
+
+
+@query("stop_cut", f"SELECT doc_id, coalesce({_AT}, 0)::INTEGER - 1 AS at, md5(CASE WHEN {_AT} IS NULL THEN text ELSE substr(text, 1, {_AT} - 1) END) AS cut_hash FROM documents")
+def _(spark, sf_dir):
+    stops = Patterns(spark, _STOPS)
+    return docs(spark, sf_dir).select("doc_id", stops.first(F.col("text")).alias("at"), F.md5(stops.cut(F.col("text"))).alias("cut_hash"))
+
+
+@query("sentences_of", ORACLE_SQL["sentences"])
+def _(spark, sf_dir):
+    """Sentences by a table function, joined laterally in SQL."""
+    tables.register(spark)
+    docs(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("tessera_documents")
+    return spark.sql("SELECT d.doc_id, s.sentence, count(*) AS n FROM tessera_documents d, LATERAL sentences_of(d.text) s GROUP BY d.doc_id, s.sentence")
+
+
+@query("chunks_of", f"""WITH i AS (SELECT conv_id, list(unicode(c) ORDER BY turn, place) AS ids FROM (SELECT conv_id, turn, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS place FROM conversations WHERE text <> '') GROUP BY conv_id),
+c AS (SELECT conv_id, ids, unnest(range(0, (len(ids) + 127) // 128)) AS chunk FROM i)
+SELECT conv_id, chunk::INTEGER AS chunk, md5(array_to_string(ids[chunk * 128 + 1:chunk * 128 + 128], ' ')) AS ids_hash FROM c""")
+def _(spark, sf_dir):
+    """The characters of each conversation, turn after turn, in chunks of 128 by a table function over partitions."""
+    tables.register(spark)
+    characters = F.filter(F.split("text", ""), lambda c: c != "")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(characters, F.ascii).alias("ids"))
+    rows.createOrReplaceTempView("tessera_turns")
+    found = spark.sql("SELECT * FROM chunks_of(TABLE(SELECT conv_id, turn, ids FROM tessera_turns) PARTITION BY conv_id ORDER BY (turn), 128)")
+    return found.select(F.col("key").alias("conv_id"), "chunk", F.md5(F.array_join("input_ids", " ")).alias("ids_hash"))
