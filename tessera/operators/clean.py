@@ -65,9 +65,8 @@ def steps(text: Column, config: CleaningConfig) -> list[tuple[str, Column]]:
     return out
 
 
-def cleaned(df: DataFrame, text: str = "text", config: CleaningConfig | None = None) -> DataFrame:
-    """df with clean (null: removed), reason, and what each step changed."""
-    config = config or CleaningConfig()
+def _judged(df: DataFrame, text: str, config: CleaningConfig) -> DataFrame:
+    """row (a struct of df's columns, whatever their names), what each step that is on changed, reason and clean."""
     step = {"unicode_normalized": lambda c: tx.unicode_norm(c, config.unicode_normalization), "control_chars_removed": tx.strip_control, "whitespace_normalized": tx.fold_lines}
     own = uuid.uuid4().hex  # a name that no column of df has
 
@@ -86,19 +85,27 @@ def cleaned(df: DataFrame, text: str = "text", config: CleaningConfig | None = N
     if config.remove_empty:
         reason = F.when(tx.is_blank(now), "empty_removed").otherwise(reason)
     rows = once(rows, reason.alias("reason"))
-    out = rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns], *changed, F.col("made.reason").alias("reason"), F.when(F.col("made.reason").isNull(), now).alias("clean"))
-    return out
+    return rows.select("row", *changed, F.col("made.reason").alias("reason"), F.when(F.col("made.reason").isNull(), now).alias("clean"))
+
+
+def cleaned(df: DataFrame, text: str = "text", config: CleaningConfig | None = None) -> DataFrame:
+    """df with clean (null: removed), reason, and what each step changed; ValueError if df has a column of such a name."""
+    config = config or CleaningConfig()
+    names = [*[name for name, _ in steps(F.lit(""), config)], "reason", "clean"]
+    if clash := [c for c in df.columns if c in names]:
+        raise ValueError(f"the table has columns {clash} already")
+    return _judged(df, text, config).select(*[F.col("row").getField(c).alias(c) for c in df.columns], *names)
 
 
 def clean(df: DataFrame, text: str = "text", config: CleaningConfig | None = None) -> DataFrame:
-    """The rows that stay, with their text cleaned and all other columns as they were."""
-    found = cleaned(df, text, config).filter(F.col("clean").isNotNull())
-    return found.select(*[F.col("clean").alias(c) if c == text else F.col(c) for c in df.columns])
+    """The rows that stay, with their text cleaned and all other columns, of whatever name, as they were."""
+    found = _judged(df, text, config or CleaningConfig()).filter(F.col("clean").isNotNull())
+    return found.select(*[F.col("clean").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def report(df: DataFrame, text: str = "text", config: CleaningConfig | None = None) -> DataFrame:
     """One row of counters; what steps changed is counted on rows that stay, removals by reason as well."""
-    found = cleaned(df, text, config)
+    found = _judged(df, text, config or CleaningConfig())
     stays = F.col("clean").isNotNull()
     flag = lambda c: F.count_if(stays & F.col(c)) if c in found.columns else F.lit(0).cast("long")
     return found.agg(
@@ -106,7 +113,7 @@ def report(df: DataFrame, text: str = "text", config: CleaningConfig | None = No
         F.count_if(stays).alias("records_out"),
         *[flag(c).alias(c) for c in ("unicode_normalized", "whitespace_normalized", "control_chars_removed")],
         *[F.count_if(F.col("reason") == c).alias(c) for c in ("empty_removed", "repetition_removed")],
-        F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("chars_in"),
+        F.coalesce(F.sum(F.length(F.col("row").getField(text))), F.lit(0)).cast("long").alias("chars_in"),
         F.coalesce(F.sum(F.length("clean")), F.lit(0)).cast("long").alias("chars_out"),
     )
 

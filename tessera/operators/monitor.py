@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,10 +22,10 @@ def moving_average(df: DataFrame, value: str, by: list[str], order: list[str], k
 
 def rise_streak(df: DataFrame, value: str, by: list[str], order: list[str], delta: float = 0.01) -> DataFrame:
     """streak: how many values in a row each rose by more than delta."""
-    w = _over(by, order)
+    w, island = _over(by, order), uuid.uuid4().hex  # a name that no column of df has
     rise = F.coalesce(F.col(value) > F.lag(value).over(w) + delta, F.lit(False))
-    marked = df.withColumn("rise", rise).withColumn("_island", F.sum((~F.col("rise")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.withColumn("streak", F.sum(F.col("rise").cast("long")).over(_over([*by, "_island"], order).rowsBetween(W.unboundedPreceding, 0))).drop("_island")
+    marked = df.withColumn("rise", rise).withColumn(island, F.sum((~F.col("rise")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.withColumn("streak", F.sum(F.col("rise").cast("long")).over(_over([*by, island], order).rowsBetween(W.unboundedPreceding, 0))).drop(island)
 
 
 def instability(df: DataFrame, value: str, by: list[str], order: list[str], window: int = 5, threshold: float = 0.5) -> DataFrame:
@@ -47,9 +49,10 @@ def early_stop(df: DataFrame, value: str, by: list[str], order: list[str], patie
     """Per group the first row (its order columns) after `patience` values without a new best; null: none."""
     best = running_best(df, value, by, order)
     w = _over(by, order)
-    since = best.withColumn("_run", F.sum(F.col("new_best").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    since = since.withColumn("_bad", F.row_number().over(_over([*by, "_run"], order)) - 1)
-    return since.groupBy(*by).agg(F.min(F.when(F.col("_bad") >= patience, F.struct(*order))).alias("stop"))
+    run, bad = uuid.uuid4().hex, uuid.uuid4().hex  # names that no column of df has
+    since = best.withColumn(run, F.sum(F.col("new_best").cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    since = since.withColumn(bad, F.row_number().over(_over([*by, run], order)) - 1)
+    return since.groupBy(*by).agg(F.min(F.when(F.col(bad) >= patience, F.struct(*order))).alias("stop"))
 
 
 def loss_flag(loss: Column, threshold: float = 1e10) -> Column:
@@ -61,7 +64,10 @@ def grad_flag(norm: Column, threshold: float = 1000.0) -> Column:
 
 
 def warnings(df: DataFrame, step: str = "step", loss: str = "loss", val_loss: str = "val_loss", grad_norm: str | None = None, patience: int = 3, delta: float = 0.01, nan_threshold: float = 1e10, grad_threshold: float = 1000.0, window: int = 5, cv: float = 0.5, by: list[str] | None = None) -> DataFrame:
-    """step, kind, message, detail (and the columns of by) of all warnings on a log."""
+    """step, kind, message, detail (and the columns of by) of all warnings on a log.
+
+    Without by the log is one series, and its windows run in one task; a log of many runs needs by.
+    """
     by = by or []
     cols = [F.col(c) for c in by]
     series = df.filter(F.col(val_loss).isNotNull())
@@ -130,6 +136,17 @@ def stale_checkpoints(df: DataFrame, path: str, keep: int, latest: str | None =
     return old if latest is None else old.filter(F.col(path) != latest)
 
 
+def latest_checkpoint(df: DataFrame, path: str) -> DataFrame:
+    """The row of the checkpoint folder with the highest step; of equal steps the greatest path."""
+    return df.withColumn("step", step_of(F.col(path))).filter("step is not null").orderBy(F.desc("step"), F.desc(path)).limit(1)
+
+
+def best_checkpoint(df: DataFrame, path: str, metric: str, smallest: bool = True) -> DataFrame:
+    """The row with the best metric, of equals the latest step; rows without a metric or that are no checkpoints do not count."""
+    own = df.withColumn("step", step_of(F.col(path))).filter(F.col("step").isNotNull() & F.col(metric).isNotNull() & ~F.isnan(metric))
+    return own.orderBy(F.asc(metric) if smallest else F.desc(metric), F.desc("step"), F.desc(path)).limit(1)
+
+
 def qa_score(df: DataFrame, answer: str, expected: str) -> DataFrame:
     hit = F.contains(F.lower(answer), F.lower(expected))
     return df.agg(F.count("*").alias("total"), F.count_if(hit).alias("correct"), (F.count_if(hit) / F.count("*") * 100).alias("score"))

@@ -102,12 +102,14 @@ def text_status(text: Column, config: ValidationConfig, kind: Column | None = No
 
 
 def with_status(df: DataFrame, *order: str, text: str = "text", config: ValidationConfig | None = None, kind: str | None = None, keys: str | None = None) -> DataFrame:
-    """df with status; a text seen before among rows without another fault is a duplicate.
+    """df with status (ValueError if there is one); a text seen before among rows without another fault is a duplicate.
 
     The window runs over a key that is null for faulty rows, and these have a key of their own each so
     that they do not meet in one partition.
     """
     config = config or ValidationConfig()
+    if "status" in df.columns:
+        raise ValueError("the table has a column status already")
     fault, key = uuid.uuid4().hex, uuid.uuid4().hex  # names that no column of df has
     first = df.withColumn(fault, text_status(F.col(text), config, None if kind is None else F.col(kind), None if keys is None else F.col(keys)))
     if not config.check_duplicates:

@@ -1,11 +1,12 @@
 """Columns of any name and null groups come through untouched."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import clean, dedup, rowindex, stats, validate
+from tessera.operators import clean, dedup, monitor, rowindex, stats, validate
 
-NAMES = ("_id", "_part", "_rows", "_key", "_rank", "_first", "made", "row", "now")
+NAMES = ("clean", "reason", "unicode_normalized", "whitespace_normalized", "control_chars_removed", "_index", "_island", "_run", "_bad", "_id", "_part", "_rows", "_key", "_rank", "_first", "made", "row", "now")
 
 
 def table(spark, texts):
@@ -47,3 +48,18 @@ def test_byte_ids(spark):
         for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.byte_token_ids(F.col("t"), eos).alias("ids")).collect():
             want = None if r["t"] is None else [x for w in r["t"].split() for x in (36, *(b + 4 for b in w.encode()))] + [2] * eos
             assert r["ids"] == want
+
+
+def test_names_that_would_clash_are_refused(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "text string, status string, clean string")
+    for f in (lambda: clean.cleaned(df), lambda: validate.with_status(df, "text")):
+        with pytest.raises(ValueError, match="already"):
+            f()
+    assert clean.report(df).first()["records_out"] == 1 and clean.clean(df).collect() == df.collect()
+
+
+def test_monitors_keep_columns_of_any_name(spark):
+    df = table(spark, ["x"] * 6).withColumn("v", F.expr("array(5D, 4D, 4.5D, 4.6D, 4.7D, 4.8D)[i]"))
+    rows = monitor.rise_streak(df, "v", [], ["i"]).collect()
+    assert own(rows) and [r["streak"] for r in sorted(rows, key=lambda r: r["i"])] == [0, 0, 1, 2, 3, 4]
+    assert monitor.early_stop(df.withColumn("g", F.lit(1)), "v", ["g"], ["i"]).first()["stop"]["i"] == 4
