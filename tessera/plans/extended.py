@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import sampling as sm
 from tessera.functions import tables
 from tessera.functions import text as tx
 from tessera.functions.patterns import Patterns
-from tessera.operators import bpe, bpe_training, dedup, near_dup, permute, split
-from tessera.plans.queries import _KEY, _WORDS, ORACLE_SQL, _fold, docs, query, table
+from tessera.operators import bpe, bpe_training, dedup, monitor, near_dup, permute, split, validate
+from tessera.plans import pipeline
+from tessera.plans.queries import _CLEANED, _KEY, _WORDS, ORACLE_SQL, _fold, docs, events, logits, query, table
 from tessera.sources import jsonl, shard_source, shards
 from tessera.sources.shared import shared_folder
 
@@ -231,3 +233,159 @@ def _(spark, sf_dir):
     rows.createOrReplaceTempView("tessera_turns")
     found = spark.sql("SELECT * FROM chunks_of(TABLE(SELECT conv_id, turn, ids FROM tessera_turns) PARTITION BY conv_id ORDER BY (turn), 128)")
     return found.select(F.col("key").alias("conv_id"), "chunk", F.md5(F.array_join("input_ids", " ")).alias("ids_hash"))
+
+
+# metrics -----------------------------------------------------------------------------------------
+
+_STEPS = "SELECT o_orderkey, o_orderkey % 600 AS s FROM orders"
+
+
+@query("lr_linear", f"SELECT o_orderkey, round(CASE WHEN s < 50 THEN s / 50.0 ELSE 1 - 0.9 * least(1.0, (s - 50) / 450.0) END, 6) AS lr FROM ({_STEPS})")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(sm.lr_multiplier(F.col("o_orderkey") % 600, "linear"), 6).alias("lr"))
+
+
+@query("lr_constant", f"SELECT o_orderkey, round(CASE WHEN s < 50 THEN s / 50.0 ELSE 1.0 END, 6)::DOUBLE AS lr FROM ({_STEPS})")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(sm.lr_multiplier(F.col("o_orderkey") % 600, "constant"), 6).cast("double").alias("lr"))
+
+
+@query("throughput", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 3 THEN l_quantity / (l_linenumber - 3) ELSE 0 END AS rate FROM lineitem")
+def _(spark, sf_dir):
+    rate = sm.throughput(F.col("l_quantity"), F.col("l_linenumber") - 3)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rate.alias("rate"))
+
+
+@query("latency", "SELECT round(coalesce(avg(l_tax / (l_linenumber - 2)) FILTER (l_linenumber > 2) * 1000, 0), 6) AS ms_per_token FROM lineitem")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("n", F.col("l_linenumber") - 2)
+    return monitor.latency(rows, "l_tax", "n").select(F.round("ms_per_token", 6).alias("ms_per_token"))
+
+
+@query("loss_reduction", "SELECT round((1 - arg_max(value, event_id) / arg_min(value, event_id)) * 100, 6) AS reduction_percent FROM events")
+def _(spark, sf_dir):
+    return monitor.loss_reduction(events(spark, sf_dir), "event_id", "value").select(F.round("reduction_percent", 6).alias("reduction_percent"))
+
+
+@query("performance", """SELECT count(*) AS steps, sum(event_id % 100)::BIGINT AS total_tokens, round(sum(abs(value)), 4) AS total_elapsed, round(sum(event_id % 100) / sum(abs(value)), 6) AS tokens_per_sec,
+round(count(*) / sum(abs(value)), 6) AS steps_per_sec, arg_min(value, event_id) AS first_loss, arg_max(value, event_id) AS last_loss, max(user_id) AS max_memory FROM events""")
+def _(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "value", "user_id", (F.col("event_id") % 100).alias("n"), F.abs("value").alias("took"))
+    found = monitor.performance(rows, "event_id", "n", "took", "value", "user_id")
+    return found.withColumn("total_elapsed", F.round("total_elapsed", 4)).withColumns({c: F.round(c, 6) for c in ("tokens_per_sec", "steps_per_sec")})
+
+
+@query("qa_score", "SELECT count(*) AS total, count(*) FILTER (contains(lower(text), lower(lang))) AS correct, round(100.0 * count(*) FILTER (contains(lower(text), lower(lang))) / count(*), 6)::DOUBLE AS score FROM documents")
+def _(spark, sf_dir):
+    found = monitor.qa_score(docs(spark, sf_dir), "text", "lang")
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("answers", "SELECT doc_id, contains(lower(text), lower(source)) AS hit FROM documents")
+def _(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.answers(F.col("text"), F.col("source")).alias("hit"))
+
+
+@query("grad_flags", "SELECT event_id, CASE WHEN value > 90 THEN 'exploding' END AS flag FROM events")
+def _(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", monitor.grad_flag(F.col("value"), 90.0).alias("flag"))
+
+
+_FOLDERS = "SELECT 'run' || (o_orderkey % 3) || CASE WHEN o_orderkey % 2 = 0 THEN '/step-' ELSE '/tmp-' END || o_orderkey AS path, o_orderkey AS step, o_totalprice AS metric FROM orders"
+
+
+def _folders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.expr("concat('run', o_orderkey % 3, if(o_orderkey % 2 = 0, '/step-', '/tmp-'), o_orderkey)").alias("path"), F.col("o_totalprice").alias("metric"))
+
+
+@query("stale_checkpoints", f"SELECT path, step FROM ({_FOLDERS}) WHERE step % 2 = 0 QUALIFY dense_rank() OVER (ORDER BY step DESC) > 4")
+def _(spark, sf_dir):
+    return monitor.stale_checkpoints(_folders(spark, sf_dir), "path", 4).select("path", "step")
+
+
+@query("latest_checkpoint", f"SELECT path, step FROM ({_FOLDERS}) WHERE step % 2 = 0 ORDER BY step DESC LIMIT 1")
+def _(spark, sf_dir):
+    return monitor.latest_checkpoint(_folders(spark, sf_dir), "path").select("path", "step")
+
+
+@query("best_checkpoint", f"SELECT path, step, metric FROM ({_FOLDERS}) WHERE step % 2 = 0 ORDER BY metric, step DESC LIMIT 1")
+def _(spark, sf_dir):
+    return monitor.best_checkpoint(_folders(spark, sf_dir), "path", "metric").select("path", "step", "metric")
+
+
+@query("log_roundtrip", "SELECT event_id AS step, value AS loss, event_id % 100 AS tokens_seen, CASE WHEN event_id % 2 = 0 THEN value END AS val_loss FROM events")
+def _(spark, sf_dir):
+    """A loss log of events, appended to in two parts and read back; rows without validation keep a null there."""
+    folder = shared_folder(spark)
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("step"), F.col("value").alias("loss"), (F.col("event_id") % 100).alias("tokens_seen"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("val_loss"))
+    for half in (rows.filter("val_loss is null"), rows.filter("val_loss is not null")):
+        monitor.append_log(half, folder)
+    return monitor.read_log(spark, folder).select("step", "loss", "tokens_seen", "val_loss")
+
+
+# arrays ------------------------------------------------------------------------------------------
+
+_X = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
+
+
+@query("repetition_penalty", _X + " SELECT vec_id, round(list_sum(list_transform(range(0, len(x)), lambda i: CASE WHEN i % 7 = vec_id % 7 THEN x[i + 1] / 1.3 ELSE x[i + 1] END)), 6) AS total FROM e")
+def _(spark, sf_dir):
+    seen = F.expr("filter(sequence(0, size(x) - 1), i -> i % 7 = vec_id % 7)")
+    return logits(spark, sf_dir).select("vec_id", F.round(sm.total(sm.repetition_penalty(F.col("x"), seen, 1.3)), 6).alias("total"))
+
+
+@query("stop_sequences", "SELECT doc_id, contains(text, '. The') OR contains(text, chr(10)) AS stopped FROM documents")
+def _(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", sm.stops(F.col("text"), [". The", "\n"]).alias("stopped"))
+
+
+_TURN = "vec_id / pow(10000.0, 2 * (i % 32) / 64.0)"
+
+
+@query("rope", _X + f" SELECT vec_id, round(list_sum(list_transform(range(0, 64), lambda i: abs(x[i + 1] * cos({_TURN}) + CASE WHEN i < 32 THEN -x[i + 33] ELSE x[i - 31] END * sin({_TURN})))), 4) AS size FROM e")
+def _(spark, sf_dir):
+    turned = sm.rope(F.col("x"), F.col("vec_id"))
+    return logits(spark, sf_dir).select("vec_id", F.round(sm.total(F.transform(turned, F.abs)), 4).alias("size"))
+
+
+@query("layer_norm", _X + ", m AS (SELECT vec_id, x, list_sum(x) / len(x) AS m FROM e) SELECT vec_id, round(list_sum(list_transform(x, lambda v: abs(v - m))) / sqrt(list_sum(list_transform(x, lambda v: (v - m) * (v - m))) / len(x) + 1e-5), 5) AS size FROM m")
+def _(spark, sf_dir):
+    return logits(spark, sf_dir).select("vec_id", F.round(sm.total(F.transform(sm.layer_norm(F.col("x")), F.abs)), 5).alias("size"))
+
+
+@query("silu", _X + " SELECT vec_id, round(list_sum(list_transform(x, lambda v: v / (1 + exp(-v)))), 6) AS total FROM e")
+def _(spark, sf_dir):
+    return logits(spark, sf_dir).select("vec_id", F.round(sm.total(F.transform("x", sm.silu)), 6).alias("total"))
+
+
+# validation and the build as a whole -------------------------------------------------------------
+
+
+@query("metadata_fields", f"SELECT CASE WHEN {_fold('text')} = '' THEN 'empty' WHEN n_chars <= 500 THEN 'metadata_inconsistencies' ELSE 'valid' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def _(spark, sf_dir):
+    """Records of documents as JSON, short ones without a language, which is asked for."""
+    lines = docs(spark, sf_dir).select("doc_id", F.to_json(F.struct("text", F.when(F.col("n_chars") > 500, F.col("lang")).alias("lang"))).alias("raw"))
+    config = validate.ValidationConfig(min_chars=0, max_chars=0, expected_fields=["lang"], check_duplicates=False)
+    return validate.with_status(jsonl.parse(lines), "doc_id", config=config, kind="kind", keys="keys").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "data_build",
+    _CLEANED
+    + f""", n AS (SELECT (SELECT count(*) FROM documents) AS n_input, count(*) FILTER (reason IS NULL) AS n_clean, count(DISTINCT sha256({_fold('t')})) FILTER (reason IS NULL) AS n_unique FROM r WHERE {_fold('text')} <> ''),
+v AS (SELECT *, greatest(1, floor(n_unique * 0.1))::BIGINT AS n_val FROM n)
+SELECT n_input, n_clean, n_unique, n_unique - n_val - 1 AS n_train, n_val, n_unique - 1 AS n_written, (n_unique - n_val - 1 + 99) // 100 + (n_val + 99) // 100 AS n_shards, true AS verified FROM v""",
+)
+def _(spark, sf_dir):
+    """documents as JSON lines through the whole build: what each step let through, and what the shards hold."""
+    source, target = shared_folder(spark), shard_source.mounted(shared_folder(spark))
+    jsonl.write(docs(spark, sf_dir).select("doc_id", "text"), source)
+    files = [source.rstrip("/") + "/" + x for x in sorted(os.listdir(shard_source.mounted(source))) if x.endswith(".txt")]
+    os.makedirs(target)
+    bpe.Tokenizer([]).save(os.path.join(target, "tokenizer.json"))
+    config = pipeline.PipelineConfig(input_paths=[shard_source.mounted(x) for x in files], tokenizer_path=os.path.join(target, "tokenizer.json"), context_length=128, validation_ratio=0.1, shard_size=100, output_dir=os.path.join(target, "out"))
+    r = pipeline.run(spark, config)
+    pipeline.preflight(config.output_dir, config.tokenizer_path, 128, 260)
+    written = sum(shards.read(spark, os.path.join(config.output_dir, part)).count() for part in ("train", "val"))
+    row = (r.n_input, r.n_clean, r.n_unique, r.n_train, r.n_val, written, r.n_shards, pipeline.resumable(config) and not r.manifest.changed(spark, config.output_dir))
+    return spark.createDataFrame([row], "n_input long, n_clean long, n_unique long, n_train long, n_val long, n_written long, n_shards long, verified boolean")
