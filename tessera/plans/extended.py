@@ -12,7 +12,7 @@ from tessera.functions import sampling as sm
 from tessera.functions import tables
 from tessera.functions import text as tx
 from tessera.functions.patterns import Patterns
-from tessera.operators import bpe, bpe_training, dedup, monitor, near_dup, permute, split, validate
+from tessera.operators import attention, bpe, bpe_training, dedup, monitor, near_dup, permute, rowindex, split, validate
 from tessera.plans import pipeline
 from tessera.plans.queries import _CLEANED, _KEY, _WORDS, ORACLE_SQL, _fold, docs, events, logits, query, table
 from tessera.sources import jsonl, shard_source, shards
@@ -389,3 +389,36 @@ def _(spark, sf_dir):
     written = sum(shards.read(spark, os.path.join(config.output_dir, part)).count() for part in ("train", "val"))
     row = (r.n_input, r.n_clean, r.n_unique, r.n_train, r.n_val, written, r.n_shards, pipeline.resumable(config) and not r.manifest.changed(spark, config.output_dir))
     return spark.createDataFrame([row], "n_input long, n_clean long, n_unique long, n_train long, n_val long, n_written long, n_shards long, verified boolean")
+
+
+# attention ---------------------------------------------------------------------------------------
+
+_HEADS = """WITH h AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS at, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+s AS (SELECT a.vec_id, exp(list_dot_product(a.x[1:8], b.x[9:16]) / sqrt(8)) AS w, b.x[17:24] AS v FROM h a JOIN h b ON b.at <= a.at)"""
+
+
+@query("causal_attention", _HEADS + " SELECT vec_id, " + ", ".join(f"round(sum(w * v[{k}]) / sum(w), 6) AS out_{k}" for k in (1, 2, 8)) + " FROM s GROUP BY vec_id")
+def _(spark, sf_dir):
+    """embeddings in order of vec_id as a sequence; a head of eight components for each of query, key and value."""
+    rows = rowindex.with_row_index(table(spark, sf_dir, "embeddings"), "vec_id", name="at")
+    heads = rows.select("vec_id", "at", *[F.slice("embedding", 8 * i + 1, 8).alias(c) for i, c in enumerate("qkv")])
+    found = attention.attend(heads, "at", "q", "k", "v").join(heads.select("vec_id", "at"), "at")
+    return found.select("vec_id", *[F.round(F.col("out")[k - 1], 6).alias(f"out_{k}") for k in (1, 2, 8)])
+
+
+# warnings ----------------------------------------------------------------------------------------
+
+_SERIES = """WITH e AS (SELECT *, value > lag(value) OVER w + 0.01 AS rise, count(value) OVER f AS n, avg(value) OVER f AS m, stddev_pop(value) OVER f AS s FROM events
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id), f AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, sum(CASE WHEN coalesce(rise, false) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY event_id) - 1 AS streak FROM g)"""
+
+
+@query("warning_streaks", _SERIES + """ SELECT user_id, event_id AS step, 'overfitting' AS kind, 'validation loss rose ' || streak || ' times in a row' AS message FROM k WHERE streak >= 3
+UNION ALL SELECT user_id, event_id, 'unstable_val', 'validation loss varies by its mean' FROM k WHERE n = 5 AND m > 0 AND s / m > 0.5
+UNION ALL SELECT user_id, event_id, 'nan_loss', 'loss is abnormally large at step ' || event_id FROM k WHERE abs(value) > 90""")
+def _(spark, sf_dir):
+    """All warnings of each user's series; the share in the text of unstable_val is left out."""
+    series = events(spark, sf_dir).select("user_id", F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("value").alias("val_loss"))
+    found = monitor.warnings(series, by=["user_id"], nan_threshold=90.0)
+    return found.select("user_id", "step", "kind", F.regexp_replace("message", r"varies by [\d.]+ of", "varies by").alias("message"))
