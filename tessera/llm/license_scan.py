@@ -185,6 +185,15 @@ class Templates:
         return sorted(found)
 
 
+def _before(hashes: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """The place of the same hash before each one in its text, or -1."""
+    order = np.lexsort((np.arange(len(hashes)), hashes, text_of[: len(hashes)]))
+    same = (hashes[order[1:]] == hashes[order[:-1]]) & (text_of[order[1:]] == text_of[order[:-1]])
+    out = np.full(len(hashes), -1, np.int64)
+    out[order[1:]] = np.where(same, order[:-1], -1)
+    return out
+
+
 class Windows:
     """Templates to be found anywhere within texts."""
 
@@ -221,19 +230,29 @@ class Windows:
                 a, b = a + np.searchsorted(lines[a:b], [line, line + 1])
             covered[a : b - 1] = np.maximum(covered[a : b - 1], size)
         chosen = []
+        before = None
         for own, most, name in zip(self.sets, self.most, self.names, strict=True):
             if not len(own):
                 continue
             places = where[np.isin(hashes[where], own)]
             need = -(-percent * len(own) // (200 - percent))
             many = np.searchsorted(places, np.minimum(places + most, last[places])) - np.arange(len(places))
+            if not (many >= need).any():
+                continue
+            if before is None:
+                before = _before(hashes, text_of)
+            # distinct bigrams of the template in the longest window from each start: a place counts for the starts
+            # behind the same bigram before it, so all windows are counted in one pass
+            reach = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(reach, np.maximum(np.maximum(before[places], places - most) + 1, np.searchsorted(text_of, text_of[places])), 1)
+            np.add.at(reach, places + 1, -1)
+            held = np.zeros(len(hashes), bool)
+            held[places] = True
             options = []
-            for i in places[many >= need]:
+            for i in places[np.cumsum(reach)[places] >= need]:
                 stop = min(i + most, last[i])
-                part = hashes[i:stop]
-                first = np.zeros(len(part), bool)
-                first[np.unique(part, return_index=True)[1]] = True
-                mine = np.isin(part, own)
+                first = before[i:stop] < i
+                mine = held[i:stop]
                 shared, size = np.cumsum(first & mine), np.cumsum(first)
                 good = (200 * shared >= percent * (size + len(own))) & mine
                 if good.any():

@@ -62,3 +62,71 @@ def test_sql(spark, sf_dir):
     expected = sorted(con.sql(ls.oracle()).fetchall())
     assert sorted(map(tuple, ls.query(spark, sf_dir).collect())) == expected
     assert any(r[1] for r in expected)
+
+
+def plain_windows(words, templates, percent=90):
+    """Every window from every start, sets built anew; then the same choice among them."""
+    found = []
+    for name, body in templates.items():
+        w = re.findall("[a-z0-9]+", body)
+        own = set(zip(w, w[1:]))
+        most = len(w) - 1 + -(-(len(w) - 1) // 4)  # a window holds repeats as the template does
+        b = list(zip(words, words[1:]))
+        options = []
+        for i in range(len(b)):
+            best = None
+            for j in range(i, min(i + most, len(b))):
+                part = set(b[i : j + 1])
+                dice = 2 * len(part & own) / (len(part) + len(own))
+                if b[i] in own and b[j] in own and 200 * len(part & own) >= percent * (len(part) + len(own)) and (best is None or dice > best[0]):
+                    best = (dice, i, j + 1, len(part & own))
+            if best:
+                options.append((-best[0], *best[1:]))
+        taken = set()
+        for dice, a, z, shared in sorted(options):
+            if not taken & set(range(a, z)):
+                taken |= set(range(a, z))
+                found.append((-shared, dice, name, a, z))
+    covered, out = {}, []
+    for shared, dice, name, a, z in sorted(found):
+        if max((covered.get(x, 0) for x in range(a, z)), default=0) < -shared:
+            covered |= dict.fromkeys(range(a, z), -shared)
+            out.append((name, round(-dice, 9)))
+    return sorted(out)
+
+
+def test_windows_against_sets_built_anew():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    templates = {"x": " ".join(rng.choice("abcdef") for _ in range(30)), "y": " ".join(rng.choice("defgh") + str(rng.randrange(3)) for _ in range(24))}
+    windows = ls.Windows(templates)
+    texts = []
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            body = list(rng.choice(list(templates.values())).split())
+            for _ in range(rng.randrange(3)):
+                body[rng.randrange(len(body))] = rng.choice("abz")
+            words += [rng.choice("abcdefz") for _ in range(rng.randrange(6))] + body
+        texts.append(" ".join(words))
+    got = windows.scan(pa.array(texts), 90, [])
+    assert any(got)
+    for k, text in enumerate(texts):
+        assert sorted((name, round(dice, 9)) for t, _, name, dice in got if t == k) == plain_windows(text.split(), templates)
+
+
+def test_many_long_licences_in_one_text(spark):
+    import time
+
+    import pyarrow as pa
+
+    full = ls.window_templates()
+    windows = ls.Windows(full)
+    text = "\n\nand so on and on\n\n".join([full["gpl-3-text"]] * 8)
+    began = time.process_time()
+    got = windows.scan(pa.array([text]), 90, [])
+    assert [name for _, _, name, _ in got] == ["gpl-3-text"] * 8 and all(dice > 0.99 for *_, dice in got)
+    assert time.process_time() - began < 6  # starts times the window's length made it hundreds
