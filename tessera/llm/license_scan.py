@@ -19,6 +19,7 @@ the template first by name wins; repeated rows are scanned each; extra columns a
 
 from __future__ import annotations
 
+import heapq
 from pathlib import Path
 
 import numpy as np
@@ -248,22 +249,29 @@ class Windows:
             np.add.at(reach, places + 1, -1)
             held = np.zeros(len(hashes), bool)
             held[places] = True
-            options = []
-            for i in places[np.cumsum(reach)[places] >= need]:
-                stop = min(i + most, last[i])
-                first = before[i:stop] < i
-                mine = held[i:stop]
-                shared, size = np.cumsum(first & mine), np.cumsum(first)
-                good = (200 * shared >= percent * (size + len(own))) & mine
-                if good.any():
-                    dice = np.where(good, 2 * shared / (size + len(own)), 0)
-                    j = int(np.argmax(dice))
-                    options.append((-float(dice[j]), int(i), int(i) + j + 1, int(shared[j])))
-            taken = np.zeros(len(hashes) if options else 0, bool)
-            for dice, a, b, shared in sorted(options):
-                if not taken[a:b].any():
-                    taken[a:b] = True
-                    chosen.append((-shared, dice, name, a, b))
+            # the best window first: a start waits under the most it can reach, and is measured when its turn comes,
+            # unless a window chosen before covers it
+            reached = np.cumsum(reach)[places]
+            open_ = places[reached >= need]
+            reached = reached[reached >= need]
+            waiting = list(zip((-2 * reached / (reached + len(own))).tolist(), open_.tolist(), [0] * len(open_), [0] * len(open_), strict=True))
+            heapq.heapify(waiting)
+            taken = np.zeros(len(hashes) if waiting else 0, bool)
+            while waiting:
+                least, i, stop, shared = heapq.heappop(waiting)
+                if stop:
+                    if not taken[i:stop].any():
+                        taken[i:stop] = True
+                        chosen.append((-shared, least, name, i, stop))
+                elif not taken[i]:
+                    stop = min(i + most, int(last[i]))
+                    first, mine = before[i:stop] < i, held[i:stop]
+                    shared, size = np.cumsum(first & mine), np.cumsum(first)
+                    good = (200 * shared >= percent * (size + len(own))) & mine
+                    if good.any():
+                        dice = np.where(good, 2 * shared / (size + len(own)), 0)
+                        j = int(np.argmax(dice))
+                        heapq.heappush(waiting, (-float(dice[j]), i, i + j + 1, int(shared[j])))
         found = []
         for shared, dice, name, a, b in sorted(chosen):
             if covered[a:b].max() < -shared:
