@@ -144,7 +144,7 @@ def learn(measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), good: str
         first = F.size(F.filter(cut, _at_least(F.expr(value).cast("double"))))
         steps.append(F.struct(F.lit(name).alias("rule"), first.cast("int").alias("first")))
     counts = held.select("stratum", F.explode(F.array(*steps)).alias("s")).groupBy("stratum", "s.rule", "s.first").count()
-    strata = max(1, int(held.agg(F.count_distinct(F.coalesce("stratum", F.lit("")))).first()[0] or 0))
+    strata = max(1, int(held.agg(F.count_distinct(F.struct(F.col("stratum").isNull(), F.coalesce("stratum", F.lit(""))))).first()[0] or 0))
     share, level = risk.max_false_rejection / len(RULES), risk.delta / (len(RULES) * strata)
     grids = {k: v[1] for k, v in RULES.items()}
 
