@@ -62,3 +62,46 @@ def test_junk_goes_and_good_stays_within_the_allowed_share(spark):
 def test_a_stratum_with_few_labels_keeps_all(spark):
     df = spark.createDataFrame([(i, " ".join(f"a{i}b{k}####" for k in range(60)), "xx") for i in range(20)], "doc_id long, text string, lang string")
     assert all(r["kept"] for r in q.judge(df, labels(spark, [(i, 1, 0) for i in range(20)])).collect())
+
+
+def test_cutoffs_and_verdicts_by_brute_force(spark):
+    """Every stratum, rule and grid step with exact binomial sums, the null stratum beside the one named ''."""
+    import random
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(6)
+    rows, told = [], []
+    for i in range(690):
+        words = [rng.choice("abcdefghij") * rng.randrange(1, 9) + str(rng.randrange(400)) + "#" * (rng.random() < 0.02 * (i % 11)) for _ in range(rng.randrange(45, 110))]
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        lines += lines[: rng.randrange(3)] if i % 4 == 0 else []
+        rows.append((i, "\n".join(lines), ["en", "", None][i % 3]))
+        if i % 5:
+            told.append((i, int(i % 7 > 0), 0))
+    df, risk = spark.createDataFrame(rows, "doc_id long, text string, lang string"), q.Risk(0.3, 0.2)
+    got = {r["doc_id"]: r for r in q.judge(df, labels(spark, told), risk).collect()}
+    good = {i for i, quality, _ in told if quality}
+
+    def values(r):
+        n = max(r["n_words"], 1)
+        return {"symbols_per_word": r["n_symbols"] / n, "duplicate_lines": r["n_dup_lines"] / max(r["n_lines"], 1), "repeated_words": r["n_repeat_words"] / n, "long_words": r["word_chars"] / n, "short_words": -r["word_chars"] / n}
+
+    share, level = Fraction(risk.max_false_rejection / len(q.RULES)), risk.delta / (len(q.RULES) * 3)
+    used = 0
+    for lang in ("en", "", None):
+        own = [r for r in got.values() if r["stratum"] == lang]
+        teach = [values(r) for r in own if r["doc_id"] in good and not r["base_failed"]]
+        cut = {}
+        for rule, (_, grid) in q.RULES.items():
+            for c in grid:
+                k, n = sum(v[rule] > c for v in teach), len(teach)
+                chance = sum(comb(n, x) * share**x * (1 - share) ** (n - x) for x in range(k + 1))
+                if k >= n or chance > level:
+                    break
+                cut[rule] = c
+        used += len(cut)
+        for r in own:
+            failed = [rule for rule in q.RULES if rule in cut and values(r)[rule] > cut[rule]]
+            assert r["rejected_by"] == failed and r["kept"] == (not failed and not r["base_failed"]), (r, cut)
+    assert used > 6 and any(r["rejected_by"] for r in got.values())
