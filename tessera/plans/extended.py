@@ -12,7 +12,7 @@ from tessera.functions import sampling as sm
 from tessera.functions import tables
 from tessera.functions import text as tx
 from tessera.functions.patterns import Patterns
-from tessera.operators import attention, bpe, bpe_training, dedup, monitor, near_dup, permute, rowindex, split, validate
+from tessera.operators import attention, bpe, bpe_training, dedup, monitor, near_dup, permute, rowindex, sketches, split, validate
 from tessera.plans import pipeline
 from tessera.plans.queries import _CLEANED, _KEY, _WORDS, ORACLE_SQL, _fold, docs, events, logits, query, table
 from tessera.sources import jsonl, shard_source, shards
@@ -422,3 +422,25 @@ def _(spark, sf_dir):
     series = events(spark, sf_dir).select("user_id", F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("value").alias("val_loss"))
     found = monitor.warnings(series, by=["user_id"], nan_threshold=90.0)
     return found.select("user_id", "step", "kind", F.regexp_replace("message", r"varies by [\d.]+ of", "varies by").alias("message"))
+
+
+# statistics that can be added to -----------------------------------------------------------------
+
+
+@query("sketch_stats", f"""SELECT lang, count(*) FILTER ({_fold('text')} <> '') AS documents, coalesce(sum(length(text)) FILTER ({_fold('text')} <> ''), 0)::BIGINT AS characters, count(*) FILTER ({_fold('text')} = '') AS empty_documents,
+min(length(text)) FILTER ({_fold('text')} <> '') AS min_length, max(length(text)) FILTER ({_fold('text')} <> '') AS max_length, true AS median_within, true AS unique_within FROM documents GROUP BY lang""")
+def _(spark, sf_dir):
+    """Sketches of each source and language, appended source by source, merged by language; whether the estimates are
+    within their stated error of the exact rows."""
+    d = docs(spark, sf_dir)
+    path = shared_folder(spark)
+    named = d.withColumn("shard", F.to_json(F.struct("source", "lang")))
+    sketches.append(named.filter("source = 'src0'"), path, "shard")
+    sketches.append(named.filter("source <> 'src0' or source is null"), path, "shard")
+    by_lang = sketches.read(spark, path).withColumn("lang", F.get_json_object("shard", "$.lang"))
+    found = sketches.merged(by_lang, "lang")
+    good = d.filter(~tx.is_blank(F.col("text"))).select(F.col("lang").alias("l"), F.length("text").alias("n"), tx.dedup_key(F.col("text")).alias("key"))
+    held = good.join(found, F.col("l").eqNullSafe(F.col("lang"))).groupBy("lang").agg(F.avg((F.col("n") < F.col("median_length")).cast("int")).alias("below"), F.avg((F.col("n") <= F.col("median_length")).cast("int")).alias("upto"), F.count_distinct("key").alias("unique"))
+    both = found.join(held.withColumnRenamed("lang", "l"), F.col("l").eqNullSafe(F.col("lang")))
+    median, unique = (F.col("below") - 0.02 <= 0.5) & (F.col("upto") + 0.02 >= 0.5), F.abs(F.col("unique_texts") - F.col("unique")) <= 5 * 0.016 * F.col("unique")
+    return both.select("lang", "documents", "characters", "empty_documents", "min_length", "max_length", median.alias("median_within"), unique.alias("unique_within"))
