@@ -38,8 +38,8 @@ class Draw:
         return F.transform(F.slice(F.array_sort(keys), 1, k), lambda s: s["v"])
 
 
-def mixture(spark: SparkSession, n: int, families: list[tuple[str, float, Family]], seed: int = 42) -> DataFrame:
-    """n rows of row, family, text; a draw beyond the sum of the weights gives no row."""
+def mixture(spark: SparkSession, n: int, families: list[tuple[str, float, Family]], seed: int = 42, rows: DataFrame | None = None) -> DataFrame:
+    """n rows of row, family, text, or one for each of rows (its one column names them); a draw beyond the sum of the weights gives no row."""
     draw = Draw(F.col("row"), seed)
     r, bound = draw.uniform(), 0.0
     kind = text = None
@@ -48,8 +48,8 @@ def mixture(spark: SparkSession, n: int, families: list[tuple[str, float, Family
         value = family(Draw(F.col("row"), seed * 1_000_003 + len(name) + int(bound * 1e6)))
         kind = F.when(F.col("_r") < bound, name) if kind is None else kind.when(F.col("_r") < bound, name)
         text = F.when(F.col("_r") < bound, value) if text is None else text.when(F.col("_r") < bound, value)
-    rows = spark.range(n).withColumnRenamed("id", "row").withColumn("_r", r)
-    return rows.select("row", kind.alias("family"), text.alias("text")).filter("family is not null")
+    named = (spark.range(n) if rows is None else rows).toDF("row").withColumn("_r", r)
+    return named.select("row", kind.alias("family"), text.alias("text")).filter("family is not null")
 
 
 def counting(longest: int = 8, prefix: str = "count: ") -> Family:
@@ -90,18 +90,24 @@ def arithmetic(low: int = 0, high: int = 20, signed: bool = True) -> Family:
     return make
 
 
-def synthetic(spark: SparkSession, n: int = 500, seed: int = 42, mix: tuple[float, float, float] = (0.5, 0.25, 0.25), words: tuple[list[str], list[str], list[str], list[str]] | None = None, phrases: list[str] | None = None) -> DataFrame:
-    """Sentences, counting and repeated phrases, with source "synthetic"."""
+def synthetic(spark: SparkSession, n: int = 500, seed: int = 42, mix: tuple[float, float, float] = (0.5, 0.25, 0.25), words: tuple[list[str], list[str], list[str], list[str]] | None = None, phrases: list[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Sentences, counting and repeated phrases, with source "synthetic": n of them, or one for each of rows."""
     subjects, verbs, adjectives, objects = words or (["the teacher", "a river", "our garden"], ["sees", "follows", "paints"], ["quiet", "bright", "old"], ["houses", "birds", "letters"])
     sentence = template("%s %s %s %s.", subjects, verbs, adjectives, objects)
-    rows = mixture(spark, n, [("sentence", mix[0], sentence), ("counting", mix[1], counting()), ("repeated", mix[2], repeated(phrases or ["one step at a time", "rain on the roof"]))], seed)
-    return rows.withColumn("source", F.lit("synthetic"))
+    made = mixture(spark, n, [("sentence", mix[0], sentence), ("counting", mix[1], counting()), ("repeated", mix[2], repeated(phrases or ["one step at a time", "rain on the roof"]))], seed, rows)
+    return made.withColumn("source", F.lit("synthetic"))
+
+
+def facts(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, text: the sum and the product of each distinct pair of numbers, as sentences; pairs with a null say nothing."""
+    known = pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null").distinct()
+    return known.select("a", "b", F.explode(F.array(F.format_string("%d + %d = %d", "a", "b", F.col("a") + F.col("b")), F.format_string("%d x %d = %d", "a", "b", F.col("a") * F.col("b")))).alias("text"))
 
 
 def sums_table(spark: SparkSession, n: int = 12) -> DataFrame:
-    """All sums and products of 1 to n, as sentences; a product of two ranges of fixed length."""
-    a, b = spark.range(1, n + 1).toDF("a"), spark.range(1, n + 1).toDF("b")
-    return a.crossJoin(b).select("a", "b", F.explode(F.array(F.format_string("%d + %d = %d", "a", "b", F.col("a") + F.col("b")), F.format_string("%d x %d = %d", "a", "b", F.col("a") * F.col("b")))).alias("text"))
+    """All sums and products of 1 to n, as sentences."""
+    numbers = F.sequence(F.lit(1), F.lit(n))
+    return facts(spark.range(1, n + 1).select("id", F.explode(numbers).alias("other")), "id", "other")
 
 
 def successors(spark: SparkSession, names: list[str], pattern: str = "After %s comes %s.") -> DataFrame:

@@ -359,12 +359,16 @@ def _(spark, sf_dir):
 
 @query("synthetic_corpus")
 def _(spark, sf_dir):
-    return generate.synthetic(spark, 500)
+    """A text for each customer, about nations and regions."""
+    listed = lambda t, c: sorted(r[0] for r in table(spark, sf_dir, t).select(F.lower(c)).distinct().collect())  # noqa: E731  names of a dimension
+    words = (listed("nation", "n_name"), ["buys", "sells", "ships"], ["cheap", "heavy", "new"], listed("region", "r_name"))
+    return generate.synthetic(spark, words=words, rows=table(spark, sf_dir, "customer").select("c_custkey"))
 
 
-@query("arithmetic_facts", "SELECT a, b, unnest([a || ' + ' || b || ' = ' || (a + b), a || ' x ' || b || ' = ' || (a * b)]) AS text FROM range(1, 13) x(a), range(1, 13) y(b)")
+@query("arithmetic_facts", "SELECT DISTINCT a, b, unnest([a || ' + ' || b || ' = ' || (a + b), a || ' x ' || b || ' = ' || (a * b)]) AS text FROM (SELECT l_linenumber::BIGINT AS a, l_quantity::BIGINT AS b FROM lineitem)")
 def _(spark, sf_dir):
-    return generate.sums_table(spark)
+    """What the lines of all orders say on sums and products of their numbers and quantities."""
+    return generate.facts(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_quantity")
 
 
 @query("distinct_union", "SELECT c_nationkey AS nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
