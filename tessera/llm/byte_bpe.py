@@ -43,10 +43,11 @@ def _encoding(ranks: dict[bytes, int], pattern: str):
     import tiktoken
 
     kept = sys.__dict__.setdefault("_tessera_bpe", {})
-    key = (len(ranks), pattern)
+    key = (id(ranks), pattern)  # two rank files may be of one size; what is kept holds ranks, so that its id stays its own
     if key not in kept:
-        kept[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return kept[key]
+        kept.clear()
+        kept[key] = ranks, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return kept[key][1]
 
 
 def _code(x: np.ndarray) -> bytes:

@@ -46,3 +46,17 @@ def _counts(docs, bounds, words, numbers):
 
 def test_empty_table(spark):
     assert byte_bpe.digests_of(cases.empty(spark), RANKS, P.PATTERN).count() == 0
+
+
+def test_rank_files_of_one_size_are_told_apart(spark):
+    text = "Größe und Länge, naïve façades: 日本語 words and more words"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    seen = set()
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"):
+        ranks = byte_bpe.read_ranks(P.path(name))
+        assert len(ranks) == 50256
+        ids = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+        r = byte_bpe.digests_of(df, P.path(name), P.PATTERN).first()
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        seen.add(r["ids_sha256"])
+    assert len(seen) == 2
