@@ -33,6 +33,19 @@ def test_quality_of_null_and_blank_groups(spark):
     df = spark.createDataFrame([("en", "some text"), ("en", "some  text"), (None, "no language"), ("de", "  ")], "lang string, text string")
     got = {r["lang"]: (r["documents"], r["characters"], r["empty_documents"], r["duplicates"]) for r in stats.quality(df, "lang").collect()}
     assert got == {"en": (2, 19, 0, 1), None: (1, 11, 0, 0), "de": (0, 0, 1, 0)}
+    whole = stats.quality(df.union(df.limit(1)).union(spark.createDataFrame([("en", None)], df.schema))).first()
+    assert (whole["documents"], whole["characters"], whole["empty_documents"], whole["duplicates"], whole["min_length"], whole["max_length"]) == (4, 39, 1, 2, 9, 11)
+    none = stats.quality(df.filter("false")).first()
+    assert (none["documents"], none["characters"], none["empty_documents"], none["duplicates"], none["median_length"]) == (0, 0, 0, 0, None)
+    # groups under the names of columns used within
+    named = stats.quality(df.withColumnsRenamed({"lang": "v"}).withColumn("k", F.lit(1)), "v", "k")
+    assert {(r["v"], r["k"], r["documents"]) for r in named.collect()} == {("en", 1, 2), (None, 1, 1), ("de", 1, 0)}
+
+
+def test_quality_reads_texts_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = stats.quality(docs, "lang")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Join" not in plan
 
 
 def test_lines_fold_as_in_python(spark):
