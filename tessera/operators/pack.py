@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,43 +13,76 @@ from tessera.operators.rowindex import with_row_index
 EOS = 2
 
 
-def chunks(df: DataFrame, ids: str, *order: str, context_length: int, keep_full_last: bool = True, at_least_one: bool = False) -> DataFrame:
+def _pieces(size: int, kind: str):
+    """A function of id lists and their offsets: each list's pieces (chunk, part), cut where a chunk of size ids ends.
+
+    A batch's ids stay as they lie; only the bounds of the pieces are new, so that a list of any length costs its length
+    once (slice() in a lambda copies the whole list for every piece).
+    """
+
+    @F.arrow_udf(f"array<struct<chunk:bigint,part:array<{kind}>>>")
+    def cut(ids: pa.Array, at: pa.Array) -> pa.Array:
+        n = np.asarray(pc.fill_null(pc.list_value_length(ids), 0), np.int64)
+        start = np.asarray(pc.fill_null(at, 0), np.int64)
+        first = start // size
+        many = np.where(n > 0, (start + n - 1) // size - first + 1, 0)
+        bounds = np.concatenate([[0], np.cumsum(many)])
+        row = np.repeat(np.arange(len(n)), many)
+        chunk = first[row] + np.arange(bounds[-1]) - bounds[:-1][row]
+        length = np.minimum((chunk + 1) * size, (start + n)[row]) - np.maximum(chunk * size, start[row])
+        parts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), ids.flatten())
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(chunk, pa.int64()), parts], ["chunk", "part"]))
+
+    return cut
+
+
+def chunks(df: DataFrame, ids: str | Column, *order: str, context_length: int, keep_full_last: bool = True, at_least_one: bool = False, n: Column | None = None) -> DataFrame:
     """chunk, input_ids: the concatenation of all id lists in order, cut every context_length + 1 ids; the rest is dropped.
 
     keep_full_last false drops a last chunk that is exactly full, as cutting (total - 1) // size does.
     at_least_one: a total short of one chunk gives one chunk of zeros. Each row is cut at the chunk
     bounds it crosses, so what is grouped is a few slices per chunk, not a row per id.
+
+    ids may be an expression over df, with n its number of ids: then df's own columns are sorted and written while
+    offsets are found, and ids, which are larger than their texts, are made where they are cut.
     """
     size = context_length + 1
-    rows = with_row_index(df.select(*order, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_n")).filter("_n > 0"), *order, running={"_at": "_n"})
+    if n is None:
+        placed = df.select(*order, (F.col(ids) if isinstance(ids, str) else ids).alias("_ids")).withColumn("_n", F.size("_ids").cast("long"))
+    else:
+        placed = df.withColumn("_n", n.cast("long"))
+    rows = with_row_index(placed.filter("_n > 0"), *order, running={"_at": "_n"})
+    late = rows if n is None else rows.select("_at", "_n", (F.col(ids) if isinstance(ids, str) else ids).alias("_ids"))
     total = int(rows.agg(F.coalesce(F.max(F.col("_at") + F.col("_n")), F.lit(0))).first()[0])
-    n = (total if keep_full_last else total - 1) // size if total else 0
-
-    def cut_at(chunk: Column) -> Column:
-        begin = F.greatest(chunk * size - F.col("_at"), F.lit(0))
-        end = F.least((chunk + 1) * size - F.col("_at"), F.col("_n"))
-        return F.struct(chunk.alias("chunk"), F.slice("_ids", (begin + 1).cast("int"), (end - begin).cast("int")).alias("part"))
+    n_full = (total if keep_full_last else total - 1) // size if total else 0
 
-    # a row is cut before it is exploded, so that its ids are not copied into each of its pieces
-    crossed = F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("_n") - 1) / size))
-    cut = rows.select("_at", F.explode(F.transform(crossed, cut_at)).alias("piece")).filter(F.col("piece.chunk") < n)
+    kind = late.schema["_ids"].dataType.elementType.simpleString()
+    pieces = _pieces(size, kind)(F.col("_ids"), F.col("_at"))
+    cut = late.select("_at", F.explode(pieces).alias("piece")).filter(F.col("piece.chunk") < n_full)
     cut = cut.select(F.col("piece.chunk").alias("chunk"), F.struct("_at", F.col("piece.part").alias("part")).alias("s"))
     out = cut.groupBy("chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["part"])).alias("input_ids"))
-    if at_least_one and n == 0:
+    if at_least_one and n_full == 0:
         return df.sparkSession.range(1).select(F.col("id").alias("chunk"), F.array_repeat(F.lit(0), size).alias("input_ids"))
     return out
 
 
-def streamed(df: DataFrame, ids: str, *order: str, context_length: int) -> DataFrame:
+def _marked(df: DataFrame, ids: str | Column, n: Column | None) -> tuple[DataFrame, str | Column, Column | None]:
+    """df, ids and n with an end mark more."""
+    if isinstance(ids, str):
+        return df.withColumn(ids, F.concat(F.col(ids), F.array(F.lit(EOS)))), ids, None if n is None else n + 1
+    return df, F.concat(ids, F.array(F.lit(EOS))), None if n is None else n + 1
+
+
+def streamed(df: DataFrame, ids: str | Column, *order: str, context_length: int, n: Column | None = None) -> DataFrame:
     """As the streaming reader cuts: ids end with one end mark already, another follows, a full last chunk goes."""
-    twice = df.withColumn(ids, F.concat(F.col(ids), F.array(F.lit(EOS))))
-    return chunks(twice, ids, *order, context_length=context_length, keep_full_last=False)
+    twice, ids, n = _marked(df, ids, n)
+    return chunks(twice, ids, *order, context_length=context_length, keep_full_last=False, n=n)
 
 
-def packed(df: DataFrame, ids: str, *order: str, context_length: int, add_eos: bool = True) -> DataFrame:
+def packed(df: DataFrame, ids: str | Column, *order: str, context_length: int, add_eos: bool = True, n: Column | None = None) -> DataFrame:
     """As the packer cuts: ids without end mark get one."""
-    marked = df.withColumn(ids, F.concat(F.col(ids), F.array(F.lit(EOS)))) if add_eos else df
-    return chunks(marked, ids, *order, context_length=context_length)
+    marked, ids, n = _marked(df, ids, n) if add_eos else (df, ids, n)
+    return chunks(marked, ids, *order, context_length=context_length, n=n)
 
 
 def truncate(ids: Column, context_length: int) -> Column:

@@ -301,12 +301,14 @@ def _chunk_hash(chunks):
 
 @query("pack_chunks", _chunk_sql("ids", "total // 513"))
 def _(spark, sf_dir):
-    return _chunk_hash(pack.packed(_byte_ids(spark, sf_dir, eos=False), "ids", "doc_id", context_length=512))
+    text = F.col("text")
+    return _chunk_hash(pack.packed(docs(spark, sf_dir).select("doc_id", "text"), tx.byte_token_ids(text, False), "doc_id", context_length=512, n=tx.byte_token_count(text, False)))
 
 
 @query("stream_chunks", _chunk_sql("list_append(ids, 2)", "(total - 1) // 513"))
 def _(spark, sf_dir):
-    return _chunk_hash(pack.streamed(_byte_ids(spark, sf_dir), "ids", "doc_id", context_length=512))
+    text = F.col("text")
+    return _chunk_hash(pack.streamed(docs(spark, sf_dir).select("doc_id", "text"), tx.byte_token_ids(text, True), "doc_id", context_length=512, n=tx.byte_token_count(text, True)))
 
 
 @query("running_offset", _TOKENS + " SELECT doc_id, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS token_offset FROM t")

@@ -169,6 +169,7 @@ def test_packing(spark):
     flat = [x for _, r in rows for x in r]
     many = spark.createDataFrame(rows, "i int, ids array<int>")
     assert ids(pack.chunks(many, "ids", "i", context_length=9)) == [flat[k : k + 10] for k in range(0, len(flat) - 9, 10)]
+    assert ids(pack.chunks(many, F.col("ids"), "i", context_length=9, n=F.size("ids"))) == [flat[k : k + 10] for k in range(0, len(flat) - 9, 10)]
     assert ids(pack.chunks(df, "ids", "i", context_length=9, at_least_one=True)) == [[0] * 10]
     r = spark.sql("select array(7, 8, 2) ids").select(pack.shifted(pack.pad(F.col("ids"), 4)).alias("e")).first()["e"]
     assert (r["input_ids"], r["target_ids"]) == ([7, 8, 2, 2], [8, 2, 2, 2])
