@@ -48,10 +48,11 @@ def chunks(df: DataFrame, ids: str | Column, *order: str, context_length: int, k
     """
     size = context_length + 1
     if n is None:
-        placed = df.select(*order, (F.col(ids) if isinstance(ids, str) else ids).alias("_ids")).withColumn("_n", F.size("_ids").cast("long"))
+        placed, count = df.select(*order, (F.col(ids) if isinstance(ids, str) else ids).alias("_ids")), F.size("_ids")
     else:
-        placed = df.withColumn("_n", n.cast("long"))
-    rows = with_row_index(placed.filter("_n > 0"), *order, running={"_at": "_n"})
+        placed, count = df, n
+    # no ids (null has size -1 or null) leave the offsets as they are
+    rows = with_row_index(placed, *order, running={"_at": "_n"}, made={"_n": F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).cast("long")})
     late = rows if n is None else rows.select("_at", "_n", (F.col(ids) if isinstance(ids, str) else ids).alias("_ids"))
     total = int(rows.agg(F.coalesce(F.max(F.col("_at") + F.col("_n")), F.lit(0))).first()[0])
     n_full = (total if keep_full_last else total - 1) // size if total else 0
