@@ -2,8 +2,10 @@
 
 import math
 import os
+import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 
 
@@ -21,3 +23,46 @@ def test_perplexity_is_that_of_its_sql_on_values_of_many_digits(spark, tmp_path)
     found = {r[0]: r[1] for r in entry.queries()["perplexity"](spark, str(tmp_path)).collect()}
     assert len(found) == len(expected) == 600000
     assert [k for k, v in expected.items() if found[k] != v and not (math.isnan(v) and math.isnan(found[k]))] == []
+
+
+def test_lines_of_a_crowded_list_are_linked_wherever_their_simhashes_are_near(spark):
+    """All pairs of a list's lines, in crowded blocks too: many lines that share most of their words."""
+    from tessera.llm import line_dedup as ld
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4000)]
+    start, lines = "the usual long notice that all of these rows begin with and that says the same each time", []
+    for _ in range(260):
+        own = [rng.choice(words) for _ in range(6)]
+        lines.append(own)
+        for _ in range(2):  # lines like it, with a letter changed in two of its words
+            like = list(own)
+            for k in rng.sample(range(6), 2):
+                like[k] = like[k][:3] + rng.choice("xyz") + like[k][4:]
+            lines.append(like)
+    texts = [start + " " + " ".join(x) for x in lines]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, nodes, roots = ld.groups(docs)
+    root = {r["node"]: r["root"] for r in roots.collect()}
+    held = ld.with_simhash(nodes.select("key", "norm", "n", "start")).select("key", "norm", "simhash", "n", "start").cache()
+    x, y = held.toDF("a", "x", "p", "n1", "s"), held.toDF("b", "y", "q", "n2", "t")
+    near = x.join(y, F.expr(f"s = t and a < b and bit_count(p ^ q) < {ld.BLOCKS}"))
+    truth = near.filter("levenshtein(x, y, cast(floor(greatest(n1, n2) / 10) as int)) >= 0").select("a", "b").collect()
+    missed = [(a, b) for a, b in truth if root.get(a, a) != root.get(b, b)]
+    print("links within one list:", len(truth), "missed:", len(missed))
+    assert len(truth) > 200 and not missed
+
+
+def test_pairs_in_tiles_against_all_pairs(spark):
+    """Each pair of a crowded bucket that differs in few bits is looked at, whatever the size of the tiles."""
+    from tessera.llm import line_dedup as ld
+
+    rng = random.Random(5)
+    base = rng.getrandbits(ld.SIM_BITS)
+    rows = [(k % 2, k, 100, 0 if k % 5 == 0 else k, 0, base ^ sum(1 << b for b in rng.sample(range(ld.SIM_BITS), 4))) for k in range(300)]
+    open_ = spark.createDataFrame(rows, "list long, key long, n int, root long, largest long, simhash long")
+    texts = spark.createDataFrame([(r[1], "x" * 100) for r in rows], "key long, norm string")
+    roots = spark.createDataFrame([(r[1], r[3]) for r in rows], "node long, root long")
+    met = {tuple(r) for r in ld._beyond_hubs(open_, 90).collect()} | {tuple(r) for r in ld._within_crowds(ld._sized(open_), roots, texts, 90, 16).collect()}
+    expected = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and (a[5] ^ b[5]).bit_count() < ld.BLOCKS}
+    assert met == expected and len(expected) > 3000
