@@ -1,8 +1,8 @@
 """Operator 5: a quality classifier by perplexity under an interpolated modified Kneser-Ney model.
 
 The model is over bytes (five-grams by default), trained on trusted text: labelled rows of quality 1
-that are not toxic, of which at most `max_trusted` (the least by a hash of the id) are taken; that
-bound is what lets their ids be broadcast. Counts are sharded and joined (see _grams): the highest
+that are not toxic, all of them. Their ids are broadcast if counted to be at most `max_broadcast`, and joined
+by a shuffle otherwise; the model and the thresholds are the same either way. Counts are sharded and joined (see _grams): the highest
 order discounts occurrences, lower orders continuation counts, with three discounts per order from
 the counts of counts. Each distinct n-gram's probability is worked out once and goes back to the
 texts, which gives each row's perplexity per byte.
@@ -26,7 +26,8 @@ from tessera.llm import _grams as gr
 from tessera.llm._io import CHUNK_BYTES, arrow_limits, materialise, rows_of, text_bytes
 
 ORDER = 4
-MAX_TRUSTED = 1 << 17
+#: Trusted ids up to which they are broadcast.
+MAX_BROADCAST = 1 << 20
 MIN_TRUSTED = 50
 FOLDS = 5
 QUANTILE = 0.99
@@ -66,18 +67,23 @@ def log_probabilities(counts: DataFrame, order: int) -> DataFrame:
     return counts.select("part", "g").join(lower, "g").select("part", "g", F.log("p").alias("value"))
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED, trusted: str = TRUSTED) -> DataFrame:
-    """doc_id, train: the trusted rows taken; one in FOLDS is not trained on, for the thresholds."""
+def trusted_ids(labels: DataFrame, trusted: str = TRUSTED) -> DataFrame:
+    """doc_id, train: all trusted rows; one in FOLDS is not trained on, for the thresholds."""
     ids = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.expr(f"cast(({trusted}) as int)"), F.lit(0))).alias("ok")).filter("ok = 1 and doc_id is not null")
-    taken = ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    return taken.withColumn("train", F.expr(f"pmod(xxhash64(doc_id, 1), {FOLDS}) > 0"))
+    return ids.select("doc_id", F.expr(f"pmod(xxhash64(doc_id, 1), {FOLDS}) > 0").alias("train"))
 
 
-def perplexities(documents: DataFrame, labels: DataFrame, order: int = ORDER, max_trusted: int = MAX_TRUSTED, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _sent(ids: DataFrame, max_broadcast: int) -> DataFrame:
+    """ids, written, to be broadcast if they are few."""
+    ids = materialise(ids)
+    return F.broadcast(ids) if ids.count() <= max_broadcast else ids
+
+
+def perplexities(documents: DataFrame, labels: DataFrame, order: int = ORDER, max_broadcast: int = MAX_BROADCAST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, lang, version (hash of the text), trained, n_symbols, perplexity of every row."""
     arrow_limits(documents.sparkSession)
     parts = gr.parts_for(text_bytes(documents), chunk_bytes)
-    trusted = F.broadcast(materialise(trusted_ids(labels, max_trusted).filter("train")))  # max_trusted rows at most
+    trusted = _sent(trusted_ids(labels).filter("train"), max_broadcast)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.expr("concat(lpad(hex(xxhash64(cast(text as string))), 16, '0'), coalesce(concat(' ', cast(lang as string)), ''))").alias("tag")).join(trusted, "doc_id", "left").withColumn("train", F.coalesce("train", F.lit(False)))
     scanned = materialise(gr.scan(rows, order, parts, chunk_bytes=chunk_bytes), "kind")
     grams = scanned.filter("kind = 1")
@@ -90,10 +96,10 @@ def perplexities(documents: DataFrame, labels: DataFrame, order: int = ORDER, ma
     return found.select("doc_id", F.expr("if(length(tag) > 16, substring(tag, 18), null)").alias("lang"), F.substring("tag", 1, 16).alias("version"), "trained", "n_symbols", F.exp(-F.col("log_p") / F.col("n_symbols")).alias("perplexity"))
 
 
-def _classified(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, min_trusted: int = MIN_TRUSTED, max_trusted: int = MAX_TRUSTED, **options) -> DataFrame:
+def _classified(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, min_trusted: int = MIN_TRUSTED, max_broadcast: int = MAX_BROADCAST, **options) -> DataFrame:
     """perplexities() with threshold and kept."""
-    scores = materialise(perplexities(documents, labels, max_trusted=max_trusted, **options))
-    held = F.broadcast(materialise(trusted_ids(labels, max_trusted).filter("not train")))  # max_trusted rows at most
+    scores = materialise(perplexities(documents, labels, max_broadcast=max_broadcast, **options))
+    held = _sent(trusted_ids(labels).filter("not train"), max_broadcast)
     trusted = scores.join(held.select("doc_id"), "doc_id", "left_semi")
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * F.lit(margin)
     overall = trusted.agg(cut.alias("threshold")).first()[0]

@@ -66,3 +66,16 @@ def test_pairs_in_tiles_against_all_pairs(spark):
     met = {tuple(r) for r in ld._beyond_hubs(open_, 90).collect()} | {tuple(r) for r in ld._within_crowds(ld._sized(open_), roots, texts, 90, 16).collect()}
     expected = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and (a[5] ^ b[5]).bit_count() < ld.BLOCKS}
     assert met == expected and len(expected) > 3000
+
+
+def test_all_trusted_rows_are_learned_from(spark):
+    """More trusted rows than were ever taken before, and the same model whether their ids are broadcast or joined."""
+    from tessera.llm import kneser_ney as kn
+
+    many = (1 << 17) + 5000
+    labels = spark.range(2 * many).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"), F.lit(0).alias("toxic"))
+    assert kn.trusted_ids(labels).count() == many
+    docs = spark.createDataFrame([(k, f"text {k % 7} of some rows", "en") for k in range(60)], "doc_id long, text string, lang string")
+    few = labels.filter("doc_id < 60")
+    sent, joined = ({r["doc_id"]: (r["trained"], r["perplexity"], r["threshold"]) for r in kn.classify(docs, few, order=2, max_broadcast=m).collect()} for m in (1000, 0))
+    assert sent == joined and sum(x[0] for x in sent.values()) > 15
