@@ -79,3 +79,52 @@ def test_all_trusted_rows_are_learned_from(spark):
     few = labels.filter("doc_id < 60")
     sent, joined = ({r["doc_id"]: (r["trained"], r["perplexity"], r["threshold"]) for r in kn.classify(docs, few, order=2, max_broadcast=m).collect()} for m in (1000, 0))
     assert sent == joined and sum(x[0] for x in sent.values()) > 15
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    """A partition of many long texts is no one batch, nor are its ids Python objects all at once."""
+    from tessera.functions import batches
+    from tessera.functions import text as tx
+    from tessera.operators.bpe import Tokenizer
+
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.concat(F.lit("ab "), F.col("id")), 900).alias("text"))  # 15 MB in a partition
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    Tokenizer([]).encode_column(F.col("text"), spark)
+    tx.byte_token_ids(F.col("text"))
+
+    @F.arrow_udf("long")
+    def size(column):
+        import pyarrow as pa
+
+        return pa.array([column.nbytes] * len(column), pa.int64())
+
+    largest = rows.select(size("text").alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 2 * batches.BATCH_BYTES
+
+
+def test_slices_of_columns_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from tessera.functions import batches
+
+    for column, width in ((pa.array(["a" * 300, None, "", "b" * 5000, "c"] * 20), 1), (pa.array([[1] * 90, None, [], [2] * 900] * 20, pa.list_(pa.int32())), 8), (pa.array([], pa.string()), 1)):
+        parts = list(batches.slices(column, width, 2000))
+        assert batches.joined(parts, column.type).equals(column) and all(len(x) for x in parts)
+        assert len(column) == 0 or len(parts) > 10
+
+
+def test_shard_lines_are_those_of_json():
+    import json
+
+    import pyarrow as pa
+
+    from tessera.sources import shard_source
+
+    ids = [[1, None, -3], [], None, list(range(200000)), [7]]
+    previews = ['a"b\\ \né\x01', None, "", "x", "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1, 2]), pa.array(ids, pa.list_(pa.int32())), pa.array(previews)], names=["shard", "input_ids", "text_preview"])
+    for rows, start in ((batch, 0), (batch.slice(1, 3), 1)):
+        made = [x[2].decode() for x in shard_source.lines(rows)]
+        expected = [json.dumps({"input_ids": i, "text_preview": p}, ensure_ascii=False, separators=(",", ":")) + "\n" for i, p in zip(ids, previews)]
+        assert made == expected[start : start + rows.num_rows]
