@@ -24,6 +24,8 @@ from tessera.llm import _text as t
 from tessera.llm._io import CHUNK_BYTES, n_chunks
 
 START, END = 0xFE, 0xFF
+#: Bytes of text whose n-grams are arrays at a time.
+PIECE_BYTES = 1 << 18
 #: The key that stands for the end of a text among word keys.
 END_WORD = 0x1F2E3D4C5B6A7988
 
@@ -88,8 +90,32 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
         return k, c
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[first], np.add.reduceat(c, first)
+    return k[first], np.add.reduceat(c, first, dtype=c.dtype)
+
+
+class Sums:
+    """Counts of a chunk's keys, as sorted runs each more than twice as long as the next: what is held grows with the
+    distinct keys, not with the slices that they came from."""
+
+    def __init__(self):
+        self.runs = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.runs.append((keys, counts))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) <= 2 * len(self.runs[-1][0]):
+            self._meet()
+
+    def _meet(self) -> None:
+        (k, c), (k2, c2) = self.runs.pop(), self.runs.pop()
+        self.runs.append(_merged([k2, k], [c2, c]))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys and their counts; nothing is held any more."""
+        while len(self.runs) > 1:
+            self._meet()
+        return self.runs.pop() if self.runs else _merged([], [])
 
 
 def scan(documents: DataFrame, order: int, parts: int, words: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -110,43 +136,48 @@ def scan(documents: DataFrame, order: int, parts: int, words: bool = False, chun
 
         at = TaskContext.get().partitionId() << 32
 
-        def chunk():
+        def chunk(docs, tags, train, texts, sums):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("text", pa.large_string())])) as writer:
-                for x in texts:
-                    writer.write_batch(pa.RecordBatch.from_arrays([x.cast(pa.large_string())], names=["text"]))
-            yield rows((0, at, None, docs, tags, train, bz2.compress(sink.getvalue())))
-            for kind, (keys, counts) in sums.items():
-                k, c = _merged(keys, counts)
-                part = t.mix(k) % np.uint64(parts)
+                while texts:
+                    writer.write_batch(pa.RecordBatch.from_arrays([texts.pop(0).cast(pa.large_string())], names=["text"]))
+            packed = bz2.compress(sink.getvalue())
+            del sink
+            yield rows((0, at, None, docs, tags, train, packed))
+            del packed
+            for kind, found in sums.items():
+                k, c = found.take()
+                part = (t.mix(k) % np.uint64(parts)).astype(np.uint32)
                 by = np.argsort(part, kind="stable")
                 edges = np.flatnonzero(np.diff(part[by].astype(np.int64), prepend=-1))
                 for a, b in zip(edges, [*edges[1:], len(by)], strict=True):
                     own = by[a:b]
-                    yield rows((kind, at, int(part[own[0]]), None, None, None, pack(k[own], c[own])))
+                    yield rows((kind, at, int(part[own[0]]), None, None, None, pack(k[own], c[own].astype(np.int64))))
+            pa.default_memory_pool().release_unused()
 
-        docs, tags, train, texts, sums, size = [], [], [], [], {k: ([], []) for k, _ in kinds}, 0
+        docs, tags, train, texts, sums, size = [], [], [], [], {k: Sums() for k, _ in kinds}, 0
         for batch in batches:
-            for a, b in t.pieces(batch.column(1)):
+            for a, b in t.pieces(batch.column(1), PIECE_BYTES):
                 column = batch.column(1).slice(a, b - a)
                 learns = batch.column(3).slice(a, b - a).to_pylist()
                 for kind, keys_of in kinds:
                     keys, bounds = keys_of(column)
                     mask = np.repeat(np.array(learns, dtype=bool), np.diff(bounds))
                     k, c = np.unique(keys[mask], return_counts=True)
-                    other = np.unique(keys[~mask])
-                    sums[kind][0].extend([k, other])
-                    sums[kind][1].extend([c.astype(np.int64), np.zeros(len(other), np.int64)])
+                    sums[kind].add(k, c.astype(np.uint32))
+                    k = np.unique(keys[~mask])
+                    sums[kind].add(k, np.zeros(len(k), np.uint32))
+                    del keys, mask, k, c
                 docs += batch.column(0).slice(a, b - a).to_pylist()
                 tags += batch.column(2).slice(a, b - a).to_pylist()
                 train += learns
                 texts.append(column)
                 size += column.nbytes
                 if size >= chunk_bytes:
-                    yield from chunk()
-                    docs, tags, train, texts, sums, size, at = [], [], [], [], {k: ([], []) for k, _ in kinds}, 0, at + 1
+                    yield from chunk(docs, tags, train, texts, sums)
+                    docs, tags, train, texts, sums, size, at = [], [], [], [], {k: Sums() for k, _ in kinds}, 0, at + 1
         if docs:
-            yield from chunk()
+            yield from chunk(docs, tags, train, texts, sums)
 
     return documents.select("doc_id", "text", "tag", "train").mapInArrow(run, schema)
 
