@@ -36,3 +36,9 @@ def test_quality_is_that_of_its_sql_with_blank_texts(against_sql, name):
     for documents in (_documents(230), _documents(10, "doc_id < 5")):
         got, expected = against_sql(name, documents=documents)
         assert repr(got) == repr(expected)  # nan equals nan
+
+
+def test_shard_listing_is_that_of_its_sql_with_blank_texts(against_sql):
+    """Shards of 64 with blank and null texts among others, and one of them alone."""
+    got, expected = against_sql("shard_listing", documents=_documents(640, "doc_id < 100 or doc_id % 10 < 5"))
+    assert got == expected and len({x[2] for x in got}) > 2 and None in {x[2] for x in got}
