@@ -42,3 +42,25 @@ def test_shard_listing_is_that_of_its_sql_with_blank_texts(against_sql):
     """Shards of 64 with blank and null texts among others, and one of them alone."""
     got, expected = against_sql("shard_listing", documents=_documents(640, "doc_id < 100 or doc_id % 10 < 5"))
     assert got == expected and len({x[2] for x in got}) > 2 and None in {x[2] for x in got}
+
+
+def test_near_duplicates_write_no_sets_of_texts_without_a_like(spark, monkeypatch):
+    """What the tables of the way hold is small beside texts; before, sets of shingles alone were more than twice their size."""
+    import random
+
+    from tessera.operators import near_dup
+
+    written = []
+
+    def materialise(df, plain=near_dup.materialise):
+        made = plain(df)
+        written.append(sum(os.path.getsize(x.removeprefix("file://")) for x in made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(near_dup, "materialise", materialise)
+    rng = random.Random(4)
+    texts = [" ".join("%06x" % rng.getrandbits(24) for _ in range(2000)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[3], texts[5] + " more"])), "doc_id long, text string")
+    got = {r["doc_id"]: r["cluster"] for r in near_dup.clusters(df, "doc_id").collect()}
+    assert got == {k: k for k in range(150)} | {150: 3, 151: 5}
+    assert sum(written) < sum(map(len, texts)) / 4
