@@ -64,3 +64,19 @@ def test_near_duplicates_write_no_sets_of_texts_without_a_like(spark, monkeypatc
     got = {r["doc_id"]: r["cluster"] for r in near_dup.clusters(df, "doc_id").collect()}
     assert got == {k: k for k in range(150)} | {150: 3, 151: 5}
     assert sum(written) < sum(map(len, texts)) / 4
+
+
+def test_pattern_hits_are_those_of_its_sql(against_sql, monkeypatch):
+    """Null and blank texts, words beyond the plane, long ones and such that begin alike; also where the filter hardly holds anything back."""
+    from tessera.operators import bloom
+
+    words = "'zebras and documents DOCUMENT ' || repeat('ab', 400) || ' ' || repeat('ab', 401) || ' ' || chr(128512) || 'smiling straßen documentation'"
+    conversations = f"SELECT k AS conv_id, k AS turn, 'user' AS role, CASE WHEN k % 3 = 0 THEN NULL ELSE {words} || ' wordnumber' || k END AS text FROM range(40) r(k)"
+    more = f"SELECT 1000 + k AS doc_id, ['x' || repeat('ab', 500), chr(128512) || chr(128512) || 'SMILING', 'documen', 'documentary', 'the wordnumber12x', 'straßen' || chr(0) || 'wordnumber'][1 + k::INT] AS text, 'en' AS lang, 'src0' AS source, 1 AS n_chars FROM range(6) r(k)"
+    documents = f"{_documents(40)} UNION ALL BY NAME {more}"
+    for limit in (bloom.MAX_BYTES, 64):
+        monkeypatch.setattr(bloom, "MAX_BYTES", limit)
+        got, expected = against_sql("pattern_hits", documents=documents, conversations=conversations)
+        assert got == expected and sum(x[1] for x in got) > 10
+    got, expected = against_sql("pattern_hits", documents=documents, conversations=f"SELECT * FROM ({conversations}) WHERE text IS NULL")
+    assert got == expected
