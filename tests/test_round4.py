@@ -45,7 +45,7 @@ def test_shard_listing_is_that_of_its_sql_with_blank_texts(against_sql):
 
 
 def test_near_duplicates_write_no_sets_of_texts_without_a_like(spark, monkeypatch):
-    """What the tables of the way hold is small beside texts; before, sets of shingles alone were more than twice their size."""
+    """What the tables of the way hold is small beside texts; sets of shingles, of eight bytes each, were written twice before."""
     import random
 
     from tessera.operators import near_dup
